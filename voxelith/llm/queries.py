@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, fingerprint, langid, lines, neardup, urls
 from .common import table
 
 
@@ -24,9 +24,63 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every text, by a model that never saw the held-out documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    both = fingerprint.edited_by_next(table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("own"), F.col("edited_v"), F.col("next_v")
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.hexed(own).alias("fingerprint"),
+        fingerprint.hexed(edited).alias("edited_fingerprint"),
+        fingerprint.likeness(own, edited).alias("near_edited"),
+        fingerprint.likeness(own, following).alias("near_next"),
+    )
+
+
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near-duplicates."""
+    found = neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=5, percent=75)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+URL_RULES = [
+    urls.Rule("block", "com", "/en/"),
+    urls.Rule("allow", "example.com", "/en/7"),
+    urls.Rule("allow", "net", "/de/"),
+    urls.Rule("block", "example.net", "/de/8"),
+    urls.Rule("block", "org", "/es/"),
+]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's rule and verdict."""
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line deduplication leaves of every text."""
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=1, shortest=20)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_language": op2_language,
+        "op5_fingerprint": op5_fingerprint,
+        "op7_neardup": op7_neardup,
+        "op9_urls": op9_urls,
+        "op10_lines": op10_lines,
     }
 
 
