@@ -33,7 +33,7 @@ S_LETTER, S_NUMBER, S_OTHER, S_WHITE, S_SPACE, S_BLANK, S_APO1, S_APO2 = range(8
 FIRST = 8
 BLOCK = 256
 #: Code points that are scanned at once.
-SCAN = 1 << 20
+SCAN = 1 << 18
 #: Entries of the cache of merged slices, and the longest slice (code points) that it keeps.
 CACHE, CACHED_LENGTH = 400_000, 64
 
@@ -256,13 +256,16 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str
     """
     rest = dropped(df, ids_col, offsets_col)
     names = [c for c in rest.columns if keep is None or c in keep]
-    source = rest.select(*names, rest[text_col].cast("string").alias("\x00text"))
+    # the text goes along once
+    carried = text_col in names and isinstance(rest.schema[text_col].dataType, T.StringType)
+    at = names.index(text_col) if carried else len(names)
+    source = rest.select(*names, *([] if carried else [rest[text_col].cast("string").alias("text__")]))
     schema = T.StructType([*[rest.schema[c] for c in names], T.StructField(ids_col, T.BinaryType()), T.StructField(offsets_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in _blocks(texts, len):
                 ids = words.encode(texts[a:b])
                 starts = [words.offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in ids]

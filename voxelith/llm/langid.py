@@ -163,7 +163,10 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.predict(None if t is None else t.as_py()) for t in batch.column(len(names))]
+            found = [own.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, lang_col, score_col])
 
-    return rest.select(*names, rest[text_col].cast("string").alias("\x00text")).mapInArrow(run, schema)
+    # the text goes along once
+    carried = text_col in names and isinstance(rest.schema[text_col].dataType, T.StringType)
+    at = names.index(text_col) if carried else len(names)
+    return rest.select(*names, *([] if carried else [rest[text_col].cast("string").alias("text__")])).mapInArrow(run, schema)

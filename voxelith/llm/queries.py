@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, lines, neardup, urls
+from . import bpe, decontaminate, fingerprint, langid, licenses, lines, neardup, oracles, shards, substrings, urls
 from .common import table
 
 
@@ -31,6 +31,18 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item that a document holds, with its edits and place."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.25)
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits", "item_words", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text once repeated windows of 35 words are removed."""
+    found = substrings.dedup(table(spark, sf_dir, "documents"), window=35, keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
     both = fingerprint.edited_by_next(table(spark, sf_dir, "documents"))
@@ -46,12 +58,27 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each license notice in a document, with its coverage and place."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "license", "coverage", "matched", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of near-duplicates."""
     found = neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=5, percent=75)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+SHARD_BYTES = 1 << 20
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard."""
+    placed, _ = shards.assign(table(spark, sf_dir, "documents"), SHARD_BYTES, keep=["doc_id"])
+    return placed.select("doc_id", "shard", "n_bytes")
+
+
 URL_RULES = [
     urls.Rule("block", "com", "/en/"),
     urls.Rule("allow", "example.com", "/en/7"),
@@ -77,12 +104,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_language": op2_language,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_substrings": op4_substrings,
         "op5_fingerprint": op5_fingerprint,
+        "op6_licenses": op6_licenses,
         "op7_neardup": op7_neardup,
+        "op8_shards": op8_shards,
         "op9_urls": op9_urls,
         "op10_lines": op10_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql(SHARD_BYTES, [(r.verdict, r.host, r.path) for r in URL_RULES])
