@@ -32,44 +32,43 @@ def segment(length: Column, number: int, threshold: int) -> tuple[Column, Column
     return base * number + F.greatest(F.lit(number) - first_longer, F.lit(0)), base + F.when(F.lit(number) >= first_longer, 1).otherwise(0)
 
 
-def index_keys(line: Column, threshold: int) -> Column:
-    """Keys of a line's own segments: array of (key, own)."""
-    n = F.length(line)
-    out = []
-    for i in range(threshold + 1):
-        at, size = segment(n, i, threshold)
-        out.append(F.struct(F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size)).alias("key"), F.lit(True).alias("own")))
-    return F.array(*out)
-
+def places(n: Column, threshold: int) -> Column:
+    """Where a line of n code points is looked at: array of (length, number, at, size, own).
 
-def probe_keys(line: Column, threshold: int) -> Column:
-    """Keys under which lines of the same or a lesser length may be indexed, without the line's own segments: array of (key, own)."""
-    n = F.length(line)
+    own: its own segments, which are index keys. The others are probes for lines of the same or a lesser length: a segment of theirs may
+    be shifted by the edits that can lie before and after it.
+    """
     out = []
     for shorter in range(threshold + 1):
         length = n - shorter
         for i in range(threshold + 1):
             at, size = segment(length, i, threshold)
-            left, right = i, threshold - i  # edits that can lie before and after the segment
+            left, right = i, threshold - i
             for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                if shorter or shift:
-                    part = F.when((at + shift >= 0) & (at + shift + size <= n) & (length > 0), F.substring(line, at + shift + 1, size))
-                    out.append(F.struct(F.when(part.isNotNull(), F.xxhash64(length, F.lit(i), part)).alias("key"), F.lit(False).alias("own")))
-    return F.filter(F.array(*out), lambda k: k["key"].isNotNull()) if out else F.array().cast("array<struct<key:bigint,own:boolean>>")
+                out.append(F.struct(length.alias("length"), F.lit(i).alias("number"), (at + shift).alias("at"), size.alias("size"), F.lit(not shorter and not shift).alias("own")))
+    return F.array(*out)
+
+
+def keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """(key, own, h1) of each place of each line (h1, line)."""
+    sized = lines.select("h1", "line", F.length("line").alias("n__"))
+    each = sized.select("h1", "line", "n__", F.explode(places(F.col("n__"), threshold)).alias("p"))
+    each = each.where("p.at >= 0 and p.at + p.size <= n__ and p.length > 0")
+    return each.select(F.xxhash64("p.length", "p.number", F.substring("line", F.col("p.at") + 1, F.col("p.size"))).alias("key"), F.col("p.own").alias("own"), "h1")
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of two texts is at most threshold (30 at most), which their lengths must exceed.
 
-    One column of the band after another; bit r of column j stands for row j - threshold + r. The distance is followed down the lowest
-    diagonal, then along the last row.
+    What both begin and end with is cut off first. Then one column of the band after another; bit r of column j stands for row
+    j - threshold + r. The distance is followed down the lowest diagonal, where it never falls, then along the last row; once it
+    is too large to come down again, the columns that are left are passed over.
     """
     if not 0 <= threshold <= 30:
         raise ValueError("the band has to fit into 62 bits")
     k, width = threshold, 2 * threshold + 1
     long = lambda x: F.lit(x).cast("long")
     mask = long((1 << width) - 1)
-    m, n = F.length(a), F.length(b)
 
     def bound(value: Column, use) -> Column:
         """use(value), with the value worked out once."""
@@ -87,7 +86,7 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         return bound(F.get(t["b"], j - 1), of)
 
     def column(t: Column, s: Column, j: Column) -> Column:
-        vp, vn = s["vp"], s["vn"]
+        vp, vn, m = s["vp"], s["vn"], t["m"]
 
         def moved(d0: Column, hp: Column, hn: Column) -> Column:
             down = F.shiftrightunsigned(d0, 1)
@@ -99,9 +98,30 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         return bound(matches(t, j), lambda pm: bound(kept(pm), lambda d0: bound(vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(mask), lambda hp: moved(d0, hp, d0.bitwiseAND(vp)))))
 
     start = F.struct(long(((1 << width) - 1) ^ ((1 << k) - 1)).alias("vp"), long(0).alias("vn"), F.lit(k).alias("d"))
-    chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
-    walked = bound(chars, lambda t: F.aggregate(F.sequence(F.lit(1), n), start, lambda s, j: column(t, s, j), lambda s: s["d"]))
-    return F.when(F.abs(m - n) > threshold, F.lit(False)).when(a == b, F.lit(True)).otherwise(walked <= threshold)
+
+    def walked(t: Column) -> Column:
+        most = 2 * k + t["n"] - t["m"]
+        columns = F.when(t["n"] > 0, F.sequence(F.lit(1), t["n"])).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(columns, start, lambda s, j: F.when(s["d"] > most, s).otherwise(column(t, s, j)), lambda s: s["d"])
+
+    def banded(p: Column) -> Column:
+        """p: the two texts without common ends."""
+        x, y = p["a"], p["b"]
+        full = F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b"), F.length(x).alias("m"), F.length(y).alias("n"))
+        # a text that the threshold could delete whole has no band
+        return F.when(F.least(F.length(x), F.length(y)) <= k, F.levenshtein(x, y, k) >= 0).otherwise(bound(full, walked) <= k)
+
+    def without_prefix(p: Column) -> Column:
+        """Both texts, reversed, without their longest common beginning."""
+        x, y = p["a"], p["b"]
+        least = F.least(F.length(x), F.length(y))
+        powers = F.transform(F.sequence(F.lit(24), F.lit(0), F.lit(-1)), lambda e: F.call_function("shiftleft", F.lit(1), e))
+        same = F.aggregate(powers, F.lit(0), lambda at, p2: F.when((at + p2 <= least) & (F.substring(x, at + 1, p2) == F.substring(y, at + 1, p2)), at + p2).otherwise(at))
+        return bound(same, lambda n: F.struct(F.reverse(F.substring(x, n + 1, F.length(x))).alias("a"), F.reverse(F.substring(y, n + 1, F.length(y))).alias("b")))
+
+    both = F.struct(a.alias("a"), b.alias("b"))
+    near = bound(both, lambda p: bound(without_prefix(p), lambda q: bound(without_prefix(q), banded)))
+    return F.when(F.abs(F.length(a) - F.length(b)) > threshold, F.lit(False)).when(a == b, F.lit(True)).otherwise(near)
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFrame:
@@ -122,7 +142,7 @@ def first_lines(df: DataFrame, id_col: str, text_col: str, threshold: int, short
     """(id, text_key, pos) of the lines that take part and stay."""
     lines = _lines(df, id_col, text_col, shortest)
     firsts = saved(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_key", "pos")).alias("first")))
-    keyed = lines.select("h1", F.explode(F.concat(index_keys(F.col("line"), threshold), probe_keys(F.col("line"), threshold))).alias("k")).select("k.key", "k.own", "h1")
+    keyed = saved(keys(lines, threshold))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).where("low < high and own").select("key")
     members = saved(keyed.join(shared, "key").groupBy("key", "h1").agg(F.max("own").alias("own")))
     wanted = firsts.join(members.select("h1").distinct(), "h1").select("h1", "h2", "first.id", "first.text_key", "first.pos")
