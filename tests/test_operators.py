@@ -204,3 +204,66 @@ def test_images_keep_their_size(spark):
     flat = df.withColumn("c0", F.lit(2.0))
     assert {round(r["c0"], 9) for r in images.gaussian(flat, 8, 6, images.GAUSSIAN7).collect()} == {2.0}
     assert [(w, h) for _, w, h in images.pyramid(df, 8, 6, 3)] == [(8, 6), (4, 3), (2, 1)]
+
+
+def test_distance_transform_and_surfaces(spark):
+    from voxelith.operators import volumes
+
+    seeds = [(5, 5, 5), (0, 9, 2), (9, 0, 0)]
+    df = spark.createDataFrame(seeds, "ix int, iy int, iz int")
+    got = volumes.distance_transform(df, 10).collect()
+    assert len(got) == 1000
+    for r in got:
+        p = np.array([r["ix"], r["iy"], r["iz"]])
+        assert (r["nx"], r["ny"], r["nz"]) in seeds
+        assert abs(r["distance"] - min(np.linalg.norm(p - s) for s in seeds)) < 1e-9 and abs(np.linalg.norm(p - [r["nx"], r["ny"], r["nz"]]) - r["distance"]) < 1e-9
+    cells = [(i, j, k, float(np.clip((np.linalg.norm([(i + 0.5) * 0.1, (j + 0.5) * 0.1, (k + 0.5) * 0.1]) - 0.6) / 0.5, -1, 1)), 1.0) for i, j, k in itertools.product(range(-9, 9), repeat=3)]
+    ball = spark.createDataFrame(cells, "ix int, iy int, iz int, tsdf double, weight double")
+    t = volumes.surface_mesh(ball, 0.1).toPandas().to_numpy().reshape(-1, 3, 3)
+    n = np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])
+    assert abs(np.linalg.norm(n, axis=1).sum() / 2 / (4 * np.pi * 0.36) - 1) < 0.03
+    assert (np.einsum("ij,ij->i", n, t.mean(axis=1)) >= -1e-12).all()
+    p = volumes.surface_points(ball, 0.1).select("x", "y", "z").toPandas().to_numpy()
+    assert np.allclose(np.linalg.norm(p, axis=1), 0.6, atol=0.02)
+
+
+def test_boxes(spark):
+    from voxelith.operators.boxes import Box, OrientedBox, box_box, triangle_box, triangle_triangle
+
+    b = Box((0, 0, 0), (1, 2, 3))
+    assert b.volume == 6 and (b + Box((0, 0, 0), (0, 0, 0))) == b and (b + Box((2, 2, 2), (3, 3, 3))).high == (3, 3, 3)
+    assert b.scale(2).volume == 48 and np.allclose(b.translate((0, 0, 0), relative=False).center, 0) and b.percentage((0.5, 1, 3)).tolist() == [0.5, 0.5, 1]
+    with pytest.raises(TypeError):
+        b.rotate(np.eye(3))
+    o = OrientedBox.of(b).rotate(linalg.rotation_z(np.pi / 4))
+    assert abs(o.volume - 6) < 1e-9 and np.allclose(o.bounds().extent[:2], 3 / np.sqrt(2))
+    assert box_box(o, OrientedBox.of(b)) and not box_box(o, OrientedBox.of(b).translate((5, 0, 0)))
+    assert triangle_box([(0.5, 1, 1), (5, 5, 5), (9, 0, 0)], b) and not triangle_box([(2, 0, 0), (0, 4, 0), (2, 4, 9)], Box((0, 0, 0), (0.5, 0.5, 0.5)))
+    t = np.array([(0, 0, 0), (1, 0, 0), (0, 1, 0)], float)
+    assert triangle_triangle(t, t + [0.2, 0.2, 0]) and triangle_triangle(t, [(0.2, 0.2, -1), (0.2, 0.2, 1), (5, 5, 0)]) and not triangle_triangle(t, t + [0, 0, 0.1]) and not triangle_triangle(t, t + [2, 0, 0])
+
+
+def test_paths_go_around_obstacles(spark):
+    from voxelith.operators import planning
+
+    nodes, edges = planning.lattice(spark, (0, 0, 0), (4, 4, 4), 4)
+    assert nodes.count() == 64
+    free, d = planning.find_path(nodes, edges, (0, 0, 0), (3, 0, 0), 0.1)
+    assert abs(d - 3) < 1e-9 and free[0] == (0, 0, 0) and free[-1] == (3, 0, 0)
+    wall = spark.createDataFrame([(3, 0, 0)], "ix int, iy int, iz int")
+    around, longer = planning.find_path(nodes, edges, (0, 0, 0), (3, 0, 0), 0.1, [(wall, 0.5, (-0.1, -0.1, -0.1))])
+    assert longer > 3 and around[-1] == (3, 0, 0)
+    assert planning.find_path(nodes, edges.limit(0), (0, 0, 0), (3, 0, 0), 0.1) == ([], float("inf"))
+    box = planning.primitive_voxels(spark, "box", (1.0, 1.0, 1.0), np.eye(4), 0.25)
+    assert box.count() == 64
+    assert planning.swept_voxels(spark, "sphere", (0.5,), np.eye(4), linalg.rigid(None, (2, 0, 0)), 0.25, 12).count() > planning.primitive_voxels(spark, "sphere", (0.5,), np.eye(4), 0.25).count()
+
+
+def test_histograms_of_features(spark, cloud):
+    from voxelith.operators import features
+
+    df = points.estimate_normals(frame(spark, cloud), 10)
+    own = features.spfh(features._pairs(df, 12, None)).collect()
+    assert len(own) == len(cloud) and all(abs(sum(r["feat"][i : i + 11]) - 100) < 1e-6 for r in own for i in (0, 11, 22))
+    full = features.fpfh(df, 12).collect()
+    assert all(abs(sum(r["feat"][i : i + 11]) - 200) < 1e-6 for r in full for i in (0, 11, 22))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import linalg, predicates
-from .operators import graphs, images, meshes, points, registration, scans, voxels
+from .operators import features, graphs, images, meshes, planning, points, registration, scans, volumes, voxels
 from .plans import ranking, spatial
 from .plans.spatial import XYZ
 
@@ -381,6 +381,52 @@ query("io_84_sun_depth", "WITH w AS (SELECT img, v, u, trunc(c0 * 100)::INT AS d
 query("io_85_nyu_depth", f"WITH w AS (SELECT img, v, u, trunc(c0 * 100)::INT AS d FROM pix), s AS (SELECT img, v, u, 351.3 / (1092.5 - (((d >> 8) & 255) | ((d & 255) << 8))) AS d FROM w) SELECT img, v, u, {r('CASE WHEN d <= 0 OR d > 10 THEN 0.0 ELSE d END AS c0')} FROM s")(lambda c: c.pix.select(*images.KEY, images.nyu_depth((F.col("c0") * 100).cast("int")).alias("c0")))
 
 
+# Volumes, features, lattices
+
+CELLS = "cells AS (SELECT DISTINCT unnest(range(floor((x - 0.6) / 0.5)::INT, floor((x + 0.6) / 0.5)::INT + 1))::INT AS ix, iy, iz FROM (SELECT x, unnest(range(floor((y - 0.6) / 0.5)::INT, floor((y + 0.6) / 0.5)::INT + 1))::INT AS iy, iz FROM (SELECT x, y, unnest(range(floor((z - 0.6) / 0.5)::INT, floor((z + 0.6) / 0.5)::INT + 1))::INT AS iz FROM pts)))"
+TSDF = CELLS + """, mid AS (SELECT *, (ix + 0.5) * 0.5 AS x, (iy + 0.5) * 0.5 AS y, (iz + 0.5) * 0.5 + 4.0 AS d FROM cells), mid_uv AS (SELECT *, floor(x * 50 / d + 49.5)::INT AS u, floor(y * 50 / d + 49.5)::INT AS v FROM mid WHERE d > 0),
+img0 AS (SELECT v, u, c0 / 10 AS depth FROM pix WHERE img = 0 AND c0 > 0), vol AS (SELECT ix, iy, iz, least(1.0, (depth - d) / 0.6) AS tsdf, 1.0::DOUBLE AS weight FROM mid_uv JOIN img0 USING (v, u) WHERE depth - d > -0.6)"""
+
+
+def _volume(c: Inputs, before: DataFrame | None = None) -> DataFrame:
+    cells = volumes.open_cells(c.xyz, 0.5, 0.6)
+    pixels = c.pix.where("img = 0").select("v", "u", (F.col("c0") / 10).alias("depth"))
+    return volumes.integrate(before, cells, pixels, K, CAM, 0.5, 0.6)
+
+
+query("ag_67_open_cells", f"WITH {CELLS} SELECT ix, iy, iz FROM cells")(lambda c: volumes.open_cells(c.xyz, 0.5, 0.6))
+query("ag_50_tsdf_integrate", f"WITH {TSDF} SELECT ix, iy, iz, {r('tsdf', 'weight')} FROM vol")(_volume)
+query("ag_56_tsdf_integrate_again", f"WITH {TSDF} SELECT ix, iy, iz, {r('tsdf', 'weight * 2 AS weight')} FROM vol")(lambda c: _volume(c, _volume(c)))
+query("ag_54_tsdf_voxel_points", f"WITH {TSDF} SELECT ix, iy, iz, {r('(ix + 0.5) * 0.5 AS x', '(iy + 0.5) * 0.5 AS y', '(iz + 0.5) * 0.5 AS z', '(tsdf + 1) / 2 AS r', '(tsdf + 1) / 2 AS g', '(tsdf + 1) / 2 AS b')} FROM vol WHERE tsdf < 0.98 AND tsdf >= -0.98")(lambda c: volumes.voxel_points(_volume(c), 0.5))
+query(
+    "ag_52_tsdf_surface_points",
+    f"""WITH {TSDF}, near AS (SELECT * FROM vol WHERE tsdf < 0.98 AND tsdf >= -0.98),
+    step AS (SELECT a.ix, a.iy, a.iz, axis::INT AS axis, abs(a.tsdf) / (abs(a.tsdf) + abs(b.tsdf)) * 0.5 AS s FROM near a, range(3) t(axis) JOIN near b ON b.ix = a.ix + (axis = 0)::INT AND b.iy = a.iy + (axis = 1)::INT AND b.iz = a.iz + (axis = 2)::INT WHERE a.tsdf * b.tsdf < 0)
+    SELECT ix, iy, iz, axis, {r('(ix + 0.5) * 0.5 + CASE WHEN axis = 0 THEN s ELSE 0 END AS x', '(iy + 0.5) * 0.5 + CASE WHEN axis = 1 THEN s ELSE 0 END AS y', '(iz + 0.5) * 0.5 + CASE WHEN axis = 2 THEN s ELSE 0 END AS z')} FROM step""",
+)(lambda c: volumes.surface_points(_volume(c), 0.5))
+query(
+    "gr_23_distance_transform",
+    f"WITH seed AS (SELECT DISTINCT id * 7 % 12 AS sx, id * 5 % 12 AS sy, id * 11 % 12 AS sz FROM pts WHERE id < 9), cube AS (SELECT ix, iy, iz FROM range(12) a(ix), range(12) b(iy), range(12) d(iz)) SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, {r('sqrt(min((ix - sx) * (ix - sx) + (iy - sy) * (iy - sy) + (iz - sz) * (iz - sz))) AS distance')} FROM cube, seed GROUP BY ix, iy, iz",
+)(lambda c: volumes.distance_transform(c.xyz.where("id < 9").select(*[(F.col("id") * m % 12).cast("int").alias(k) for k, m in zip(voxels.KEYS, (7, 5, 11))]), 12).select(*voxels.KEYS, "distance"))
+query("ag_12_fpfh")(lambda c: features.fpfh(c.pts, 12).select("id", F.transform("feat", lambda x: F.round(x, 6)).alias("feat")))
+query(
+    "io_66_lattice_edges",
+    f"WITH n AS (SELECT (x * 25 + y * 5 + z) AS id, x, y, z FROM range(5) a(x), range(5) b(y), range(5) c(z)) SELECT a.id AS src, b.id AS dst, {r('sqrt((a.x - b.x) * (a.x - b.x) * 0.16 + (a.y - b.y) * (a.y - b.y) * 0.16 + (a.z - b.z) * (a.z - b.z) * 0.36) AS weight')} FROM n a JOIN n b ON a.id <> b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1",
+)(lambda c: planning.lattice(c.spark, (-1, -1, -1), (1, 1, 2), 5)[1])
+query("io_62_box_lines", "SELECT b AS src, b + (1 << i) AS dst FROM range(8) t(b), range(3) s(i) WHERE (b >> i) & 1 = 0")(lambda c: planning.box_line_set(c.spark, (0, 0, 0), (1, 1, 1))[1].select("src", "dst"))
+query("io_63_camera_marker")(lambda c: planning.camera_marker(c.spark, K, CAM, 100, 100)[0])
+query("io_64_square_grid")(lambda c: planning.square_grid(c.spark, 0.5, 4)[0])
+query("io_59_correspondence_lines", "SELECT id AS src, id + (SELECT max(id) + 1 FROM pts) AS dst FROM ptb")(lambda c: planning.correspondence_lines(c.xyz, c.ptb, c.ptb.select(F.col("id").alias("i"), F.col("id").alias("j")))[1])
+query("io_87_primitive_voxels", "SELECT x::INT AS ix, y::INT AS iy, z::INT AS iz FROM range(-6, 6) a(x), range(-6, 6) b(y), range(-6, 6) c(z) WHERE pow(x * 0.25 + 0.125, 2) + pow(y * 0.25 + 0.125, 2) + pow(z * 0.25 + 0.125, 2) <= 1")(lambda c: planning.primitive_voxels(c.spark, "sphere", (1.0,), np.eye(4), 0.25))
+query("gr_25_find_path")(lambda c: _planned(c))
+
+
+def _planned(c: Inputs) -> DataFrame:
+    nodes, edges = planning.lattice(c.spark, (-1, -1, -1), (1, 1, 1), 5)
+    path, length = planning.find_path(nodes, edges, (-0.9, -0.9, -0.9), (0.5, 0.5, 0.5), 0.5, [(c.vox.where("ix = 0 and iy = 0"), 0.5, (0, 0, 0))])
+    return c.spark.createDataFrame([(i, *map(float, p), float(length)) for i, p in enumerate(path)], "place int, x double, y double, z double, length double")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points thinned to one for each cell, with normals."""
     cloud = points.voxel_down_sample(Inputs(spark, sf_dir).pts.select("id", *XYZ), 0.5)
