@@ -6,10 +6,14 @@ differ. The positions are cut into CHUNKS. Signatures within ALLOWED * CHUNKS +
 chunk (pigeonhole), so they agree on some choice of the chunk's other positions: with an index key for each chunk and choice,
 all pairs within the distance share a key. At similarity 0.75 a pair is farther apart with a probability of about 3e-6.
 
-Pairs are not enumerated within a key. First each class is compared with the first class of each of its keys, and the confirmed links are
-contracted to components. What can still be missing are links between components: only in keys whose members are in several
-components, the members outside the first one's component are compared with the members of other components. Candidates
-pass the bounds on sizes and on the signatures' distance, then the full sets decide.
+Pairs are not enumerated within a key. First each class is compared with one class of each of its keys, the one that shares the most
+keys with others and, of these, has the fewest shingles of its own (of a family of copies, the one that was changed least), and the confirmed links are contracted to components. What
+can still be missing are links between components: only in keys whose members are in several components, the members outside the
+first one's component are compared with the members of other components. Two exact bounds rule out nearly all of these pairs. A
+class's shingles that no other class concerned has cannot be in any intersection. And both classes of a pair were compared with
+the key's chosen class: inside of it they differ by at least the difference of what they share with it; what either has
+outside of it is carried along as short hashes where it is little, and what these have in common bounds what both have.
+Candidates also pass the bounds on sizes and on the signatures' distance, then the full sets decide.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ CHOICES = [tuple(c * WIDTH + p for p in own) for c in range(CHUNKS) for own in i
 _FACTORS = odd_numbers(POSITIONS, 71)
 _SEEDS = odd_numbers(POSITIONS, 73)
 _STRIDE = 1 << 13
+#: Shingles beyond the chosen class that are carried along; with more, a weaker bound is used.
+CARRIED = 96
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -108,12 +114,9 @@ def _near(percent: int):
     return sizes & (same >= POSITIONS - DISTANCE)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
-    pairs = saved(pairs.where(_near(percent)).select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "id", "text_key"), "rep")
+def full_sets(reps: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(rep, set): the sorted shingle hashes, 8 bytes each, made again from one text of each class in reps."""
+    wanted = reps.distinct().join(classes.select("rep", "id", "text_key"), "rep")
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["text_key"] == wanted["text_key"])).select("rep", "text")
@@ -123,20 +126,48 @@ def confirmed(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str,
             found = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column(1).to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "set"])
 
-    sets = saved(texts.mapInArrow(to_sets, "rep long, set binary").dropDuplicates(["rep"]))
+    return saved(texts.mapInArrow(to_sets, "rep long, set binary").dropDuplicates(["rep"]))
+
+
+def alone_counts(sets: DataFrame) -> DataFrame:
+    """(rep, alone): how many shingles no other of these sets has; sets without such are left out."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(x.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep)), pa.array(own)], names=["rep", "shingle"])
+
+    each = sets.select("rep", "set").mapInArrow(out, "rep long, shingle long")
+    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("rep").alias("rep")).where("sets = 1")
+    return once.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared, beyond, linked) of the pairs that sizes and signatures allow.
+
+    The intersection's size, 32 bits of each of b's other shingles (null if they are more than CARRIED, or two have the same 32 bits), and whether
+    100 * intersection >= percent * union.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
+    pairs = pairs.where(_near(percent)).select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            shared, beyond, linked = [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = np.sort(np.concatenate([p, q]), kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+                n = int(np.count_nonzero(both[1:] == both[:-1]))
+                shared.append(n)
+                more = np.unique(np.setdiff1d(q, p, assume_unique=True).astype(np.uint32).view(np.int32)) if len(q) - n <= CARRIED else None
+                beyond.append(more if more is not None and len(more) == len(q) - n else None)
+                linked.append(100 * n >= percent * (len(p) + len(q) - n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), pa.array(beyond, pa.list_(pa.int32())), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "beyond", "linked"])
 
     full = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
-    return saved(full.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"))
+    return saved(full.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, shared long, beyond array<int>, linked boolean"))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -150,10 +181,17 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     classes = found.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_key")).alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = saved(classes.select(F.monotonically_increasing_id().alias("rep"), "set_key", "least", "row.id", "row.text_key", "n", "sig"))
     keys = index_keys(classes)
-    shared = keys.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
     members = saved(keys.join(shared, "key"))
-    stars = members.where("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(stars, classes, df, id_col, text_col, words, percent)
+    sets = full_sets(members.select("rep"), classes, df, id_col, text_col, words)
+    held = members.groupBy("rep").agg(F.count(F.lit(1)).alias("keys")).join(alone_counts(sets), "rep", "left")
+    held = saved(held.join(classes.select("rep", "n"), "rep").select("rep", "keys", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")))
+    best = F.max(F.struct("keys", (F.col("s") - F.col("n")).alias("alone"), (-F.col("rep")).alias("low")))
+    ranked = members.join(held, "rep").groupBy("key").agg(best.alias("m"))
+    members = saved(members.join(ranked.select("key", (-F.col("m.low")).alias("first")), "key"))
+    stars = members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    compared = verified(stars, classes, sets, percent)
+    links = compared.where("linked").select("a", "b")
 
     of = saved(components(links)) if not links.isEmpty() else None
     if of is None:
@@ -162,13 +200,26 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         placed = members.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = saved(placed.select("key", "first", "rep", "component"))
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max(F.when(F.col("rep") == F.col("first"), F.col("component"))).alias("main")).where("p < q").select("key", "main")
-    some = saved(placed.join(mixed_keys, "key").join(classes.select("rep", "n"), "rep").select("key", "rep", "component", "n", (F.col("component") != F.col("main")).alias("minor")))
-    x = some.where("minor").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"))
-    y = some.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n_b"), "minor")
-    fits = (F.col("ca") != F.col("cb")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    some = saved(placed.join(mixed_keys, "key").select("key", "first", "rep", "component", (F.col("component") != F.col("main")).alias("minor")))
+    # what no partner of any size could make up for is out: intersection <= s, union >= n
+    able = some.join(held.where(F.col("s") * 100 >= F.col("n") * percent).select("rep", "n", "s"), "rep")
+    with_first = compared.select(F.col("a").alias("first"), F.col("b").alias("rep"), F.col("shared").alias("i"), F.col("beyond").alias("e"))
+    own = F.col("rep") == F.col("first")
+    able = able.join(with_first, ["first", "rep"], "left").withColumns({"i": F.when(own, F.col("n")).otherwise(F.col("i")), "e": F.when(own, F.array().cast("array<int>")).otherwise(F.col("e"))})
+    able = saved(able.drop("first"))
+    x = able.where("minor").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("i").alias("i_a"), F.col("e").alias("e_a"))
+    y = able.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("i").alias("i_b"), F.col("e").alias("e_b"), "minor")
+    most = F.least("s_a", "s_b")
+    fits = (F.col("ca") != F.col("cb")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
+    # the symmetric difference: outside of the key's first class at least what cannot be common, inside at least the difference
+    apart = (F.col("n_a") - F.col("i_a")) + (F.col("n_b") - F.col("i_b")) + F.abs(F.col("i_a") - F.col("i_b"))
+    limit = (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    weak = (apart - 2 * F.least(F.col("s_a") - F.col("i_a"), F.col("s_b") - F.col("i_b"))) * (100 + percent) <= limit
+    sharp = F.when(F.col("e_a").isNull() | F.col("e_b").isNull(), F.lit(True)).otherwise((apart - 2 * F.size(F.array_intersect("e_a", "e_b"))) * (100 + percent) <= limit)
+    fits = fits & F.coalesce(weak, F.lit(True)) & F.coalesce(sharp, F.lit(True))
     # what was compared in the first round need not be compared again, but does no harm
     rest = x.join(y, "key").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(rest, classes, df, id_col, text_col, words, percent)
+    more = verified(rest, classes, sets, percent).where("linked").select("a", "b")
     if not more.isEmpty():
         of = saved(components(links.unionByName(more)))
     if of is None:
