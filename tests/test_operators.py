@@ -267,3 +267,48 @@ def test_histograms_of_features(spark, cloud):
     assert len(own) == len(cloud) and all(abs(sum(r["feat"][i : i + 11]) - 100) < 1e-6 for r in own for i in (0, 11, 22))
     full = features.fpfh(df, 12).collect()
     assert all(abs(sum(r["feat"][i : i + 11]) - 200) < 1e-6 for r in full for i in (0, 11, 22))
+
+
+def test_other_ways_of_registration(spark, cloud):
+    from voxelith.operators import alignment
+
+    small = linalg.rigid(linalg.rotation_from_axis_angle([0.01, -0.01, 0.02]), (0.05, -0.03, 0.02))
+    rgb = lambda df: df.withColumns({c: (F.sin("x") + F.cos("y")) / 4 + 0.5 for c in "rgb"})
+    a = rgb(frame(spark, cloud))
+    target = points.estimate_normals(points.transform(a, small), 10)
+    assert np.allclose(alignment.generalized_icp(points.estimate_normals(a, 10), target, 1.0).transformation, small, atol=1e-3)
+    assert np.allclose(alignment.colored_icp(a, target, 1.0).transformation, small, atol=5e-3)
+    far = linalg.rigid(linalg.rotation_z(2.0), (3, 1, -2))
+    feats = frame(spark, cloud).select("id", F.array(F.col("x") * 3, F.col("y") * 2, "z").alias("feat"))
+    found = alignment.fast_global(frame(spark, cloud), points.transform(frame(spark, cloud), far), feats, feats, 3, refine=0.5)
+    assert np.allclose(found.transformation, far, atol=1e-3) and found.fitness > 0.99
+
+
+def test_odometry(spark):
+    from voxelith.operators import alignment
+
+    k = np.array([[40.0, 0, 19.5], [0, 40.0, 14.5], [0, 0, 1]])
+    move = linalg.rigid(None, (0.1, -0.05, 0.0))  # two pixels and one, as pixels are paired whole
+
+    def view(shift):
+        rows = []
+        for v in range(30):
+            for u in range(40):
+                # a wavy wall, looked at from a camera that was moved
+                z = 2.0
+                for _ in range(20):
+                    x, y = (u - 19.5) * z / 40 - shift[0], (v - 14.5) * z / 40 - shift[1]
+                    z = 2.0 + 0.02 * np.sin(3 * x) * np.cos(2 * y) + shift[2]
+                rows.append((v, u, float(0.5 + 0.3 * np.sin(5 * x) + 0.2 * np.cos(4 * y)), float(z)))
+        return spark.createDataFrame(rows, "v int, u int, intensity double, depth double")
+
+    ok, m, info = alignment.rgbd_odometry(view((0, 0, 0)), view((0.1, -0.05, 0.0)), k, 40, 30, iterations=(6, 6))
+    assert ok and np.allclose(m, move, atol=1e-2) and info[3, 3] > 100
+
+
+def test_meetings_of_triangles(spark):
+    v = frame(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0.2, 0.2, -1), (0.2, 0.2, 1), (3, 3, 0), (9, 9, 9), (9, 8, 9), (8, 9, 9)])
+    t = spark.createDataFrame([(0, 0, 1, 2), (1, 3, 4, 5), (2, 6, 7, 8)], "tid long, v0 long, v1 long, v2 long")
+    assert [tuple(r) for r in meshes.self_intersecting_triangles((v, t), 0.7).collect()] == [(0, 1)]
+    cells = {tuple(r) for r in meshes.voxelized((v, t.where("tid = 0")), 0.5, (0, 0, 0)).collect()}
+    assert (0, 0, 0) in cells and (2, 0, 0) in cells and all(z == 0 for _, _, z in cells) and (2, 2, 0) not in cells

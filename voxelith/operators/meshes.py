@@ -340,3 +340,58 @@ def sample_points_uniformly(mesh: Mesh, n: int, seed: int = 0) -> DataFrame:
     unit = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
     where = spots.join(corners(mesh), "tid").withColumns({"p": F.sqrt(unit(1)), "q": unit(2)})
     return where.select("id", *[((1 - F.col("p")) * F.col(f"{c}0") + F.col("p") * (1 - F.col("q")) * F.col(f"{c}1") + F.col("p") * F.col("q") * F.col(f"{c}2")).alias(c) for c in XYZ])
+
+
+# Meetings
+
+
+def _cells(df: DataFrame, size: float, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Triangles with each cell (ix, iy, iz) that their bounding box touches."""
+    for i, (c, k) in enumerate(zip(XYZ, ("ix", "iy", "iz"))):
+        names = [f"{c}{n}" for n in range(3)]
+        low = F.floor((F.least(*names) - float(origin[i])) / size).cast("int")
+        high = F.floor((F.greatest(*names) - float(origin[i])) / size).cast("int")
+        df = df.withColumn(k, F.explode(F.sequence(low, high)))
+    return df
+
+
+def self_intersecting_triangles(mesh: Mesh, size: float) -> DataFrame:
+    """(t0, t1), t0 < t1: triangles without a common vertex that meet; they are paired on cells of the given size that both bounding boxes touch."""
+    import pandas as pd
+
+    from .boxes import triangle_triangle
+
+    places = [f"{c}{n}" for n in range(3) for c in XYZ]
+    one = _cells(corners(mesh), size)
+    a = one.select("ix", "iy", "iz", F.col("tid").alias("t0"), F.array(*CORNERS).alias("a"), F.array(*places).alias("p"))
+    b = one.select("ix", "iy", "iz", F.col("tid").alias("t1"), F.array(*CORNERS).alias("b"), F.array(*places).alias("q"))
+    near = a.join(b, ["ix", "iy", "iz"]).where((F.col("t0") < F.col("t1")) & ~F.arrays_overlap("a", "b")).select("t0", "t1", "p", "q").dropDuplicates(["t0", "t1"])
+
+    def meet(batches):
+        for x in batches:
+            keep = [triangle_triangle(np.reshape(p, (3, 3)), np.reshape(q, (3, 3))) for p, q in zip(x["p"], x["q"])]
+            yield pd.DataFrame({"t0": x["t0"][keep], "t1": x["t1"][keep]})
+
+    return near.mapInPandas(meet, "t0 long, t1 long")
+
+
+def voxelized(mesh: Mesh, size: float, low: Sequence[float] | None = None) -> DataFrame:
+    """Cells that some triangle meets; a cell's box is centred at its lower corner. Cells start half a voxel below the least corner unless `low` is given."""
+    import pandas as pd
+
+    from .boxes import Box, triangle_box
+
+    if low is None:
+        r = mesh[0].agg(*[F.min(c).alias(c) for c in XYZ]).first()
+        low = [(r[c] or 0.0) - size / 2 for c in XYZ]
+    places = [f"{c}{n}" for n in range(3) for c in XYZ]
+    # half a cell up: the box of cell i reaches from i - 1/2 to i + 1/2
+    tried = _cells(corners(mesh), size, [v - size / 2 for v in low]).select("ix", "iy", "iz", F.array(*places).alias("p"))
+
+    def meet(batches):
+        for x in batches:
+            at = x[["ix", "iy", "iz"]].to_numpy() * size + np.asarray(low)
+            keep = [triangle_box(np.reshape(p, (3, 3)), Box(tuple(c - size / 2), tuple(c + size / 2))) for c, p in zip(at, x["p"])]
+            yield x.loc[keep, ["ix", "iy", "iz"]]
+
+    return tried.mapInPandas(meet, "ix int, iy int, iz int").distinct()

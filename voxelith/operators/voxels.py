@@ -180,6 +180,53 @@ def set_free_area(grid: DataFrame | None, spark, low: Sequence[float], high: Seq
     return both.select(*KEYS, F.when(F.col("inside"), F.coalesce("prob_log", F.lit(0.0)) + MISS).otherwise(F.col("prob_log")).alias("prob_log"))
 
 
+def points_of(grid: DataFrame, size: float, origin: Sequence[float] = (0.0, 0.0, 0.0), threshold: float = THRESHOLD) -> DataFrame:
+    """Centres of the occupied cells."""
+    return centers(occupied(grid, threshold), size, origin)
+
+
+def voxels_of(grid: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Occupied cells as voxels; colours are kept where there are any."""
+    kept = occupied(grid, threshold)
+    return kept.select(*KEYS, *[F.col(c) if c in grid.columns else F.lit(0.0).alias(c) for c in COLOR])
+
+
+def occupancy_of(voxels: DataFrame) -> DataFrame:
+    """An occupancy grid in which each voxel was hit once."""
+    return voxels.select(*KEYS, F.lit(HIT).alias("prob_log"))
+
+
+def tracked_bounds(grid: DataFrame, size: float, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    return grid_bounds(known(grid), size, origin)
+
+
+def paint(voxels: DataFrame, index: DataFrame, color: Sequence[float]) -> DataFrame:
+    """Listed voxels get a colour."""
+    marked = voxels.join(index.select(*KEYS).distinct().withColumn("m__", F.lit(True)), KEYS, "left")
+    return marked.withColumns({c: F.when(F.col("m__"), F.lit(float(v))).otherwise(F.col(c)) for c, v in zip(COLOR, color)}).drop("m__")
+
+
+def collide_occupied(grid: DataFrame, other: DataFrame, size: float, other_size: float, origin: Sequence[float], other_origin: Sequence[float], margin: float = 0.0, threshold: float = THRESHOLD) -> DataFrame:
+    """Voxels of `other` that touch an occupied cell, with the least such cell."""
+    return collide_voxels(occupied(grid, threshold), other, size, other_size, origin, other_origin, margin)
+
+
+def collide_capsules(voxels: DataFrame, capsules: DataFrame, size: float, origin: Sequence[float]) -> DataFrame:
+    """(pid, ix, iy, iz) of the least voxel that each capsule (pid, x0 .. z0, x1 .. z1, radius) touches."""
+    from ..functions.predicates import capsule_aabb
+
+    q = capsules
+    for i, (c, k) in enumerate(zip(XYZ, KEYS)):
+        low = F.floor((F.least(f"{c}0", f"{c}1") - F.col("radius") - float(origin[i])) / size).cast("int")
+        high = F.floor((F.greatest(f"{c}0", f"{c}1") + F.col("radius") - float(origin[i])) / size).cast("int")
+        q = q.withColumn(k, F.explode(F.sequence(low, high)))
+    near = q.join(voxels.select(*KEYS), KEYS)
+    a = [F.col(k) * size + float(origin[i]) for i, k in enumerate(KEYS)]
+    near = near.withColumns({f"lo{i}": v for i, v in enumerate(a)} | {f"hi{i}": v + size for i, v in enumerate(a)} | {f"d{i}": F.col(f"{c}1") - F.col(f"{c}0") for i, c in enumerate(XYZ)})
+    hit = capsule_aabb(F.col("radius"), [F.col(f"{c}0") for c in XYZ], [F.col(f"d{i}") for i in range(3)], [F.col(f"lo{i}") for i in range(3)], [F.col(f"hi{i}") for i in range(3)])
+    return near.where(hit).groupBy("pid").agg(F.min(F.struct(*KEYS)).alias("v")).select("pid", "v.ix", "v.iy", "v.iz")
+
+
 def linear_index(ix: Column, iy: Column, iz: Column, resolution: int) -> Column:
     """Row-major place in a cube of cells whose centre is the origin; -1 outside."""
     h = resolution // 2

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import linalg, predicates
-from .operators import features, graphs, images, meshes, planning, points, registration, scans, volumes, voxels
+from .operators import alignment, features, graphs, images, meshes, planning, points, registration, scans, volumes, voxels
 from .plans import ranking, spatial
 from .plans.spatial import XYZ
 
@@ -418,9 +418,27 @@ query("io_63_camera_marker")(lambda c: planning.camera_marker(c.spark, K, CAM, 1
 query("io_64_square_grid")(lambda c: planning.square_grid(c.spark, 0.5, 4)[0])
 query("io_59_correspondence_lines", "SELECT id AS src, id + (SELECT max(id) + 1 FROM pts) AS dst FROM ptb")(lambda c: planning.correspondence_lines(c.xyz, c.ptb, c.ptb.select(F.col("id").alias("i"), F.col("id").alias("j")))[1])
 query("io_87_primitive_voxels", "SELECT x::INT AS ix, y::INT AS iy, z::INT AS iz FROM range(-6, 6) a(x), range(-6, 6) b(y), range(-6, 6) c(z) WHERE pow(x * 0.25 + 0.125, 2) + pow(y * 0.25 + 0.125, 2) + pow(z * 0.25 + 0.125, 2) <= 1")(lambda c: planning.primitive_voxels(c.spark, "sphere", (1.0,), np.eye(4), 0.25))
+OCC = "occ AS (SELECT ix, iy, iz, CASE WHEN (ix + iy + iz) % 3 = 0 THEN -0.4 ELSE 0.85 END::DOUBLE AS p FROM vox)"
+query("io_47_points_of_occupancy", f"WITH {OCC} SELECT ix, iy, iz, {r('p AS prob_log', '(ix + 0.5) * 0.5 AS x', '(iy + 0.5) * 0.5 AS y', '(iz + 0.5) * 0.5 AS z')} FROM occ WHERE p > 0")(lambda c: voxels.points_of(_occupancy(c), 0.5))
+query("io_56_voxels_of_occupancy", f"WITH {OCC} SELECT ix, iy, iz, 0.0::DOUBLE AS r, 0.0::DOUBLE AS g, 0.0::DOUBLE AS b FROM occ WHERE p > 0")(lambda c: voxels.voxels_of(_occupancy(c)))
+query("io_57_occupancy_of_voxels", "SELECT ix, iy, iz, 0.85::DOUBLE AS prob_log FROM vox")(lambda c: voxels.occupancy_of(c.vox))
+query("pr_65_tracked_bounds", f"SELECT {r(*[f'min({k}) * 0.5 AS min_{c}' for c, k in zip(XYZ, voxels.KEYS)], *[f'(max({k}) + 1) * 0.5 AS max_{c}' for c, k in zip(XYZ, voxels.KEYS)])} FROM vox")(lambda c: voxels.tracked_bounds(_occupancy(c), 0.5))
+query("pr_21_paint_voxels", "SELECT vox.ix, vox.iy, vox.iz, CASE WHEN w.ix IS NULL THEN 0.25 ELSE 1.0 END::DOUBLE AS r FROM vox LEFT JOIN voxb w USING (ix, iy, iz)")(lambda c: voxels.paint(_colored(c.vox, 0.25), c.voxb, (1, 1, 1)).select(*voxels.KEYS, "r"))
+query("jn_15_occupancy_voxels", f"WITH {OCC}, t AS (SELECT b.ix AS bx, b.iy AS \"by\", b.iz AS bz, min({{'x': a.ix, 'y': a.iy, 'z': a.iz}}) AS v FROM voxb b JOIN occ a ON a.p > 0 AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 GROUP BY b.ix, b.iy, b.iz) SELECT t.bx, t.\"by\", t.bz, v.x AS ax, v.y AS ay, v.z AS az FROM t")(lambda c: voxels.collide_occupied(_occupancy(c), c.voxb, 0.5, 0.5, (0, 0, 0), (0, 0, 0)))
+query("jn_17_voxel_capsules")(lambda c: voxels.collide_capsules(c.vox, _segments(c).where("id < 50").select(F.col("id").alias("pid"), *[F.col(f"a{k}").alias(f"{k}0") for k in XYZ], *[F.col(f"b{k}").alias(f"{k}1") for k in XYZ], F.lit(0.2).alias("radius")), 0.5, (0, 0, 0)))
+query("jn_23_self_intersections")(lambda c: meshes.self_intersecting_triangles((c.mesh[0], c.mesh[1].where("tid < 60")), 1.0))
+query("io_55_voxelized_mesh")(lambda c: meshes.voxelized((c.mesh[0], c.mesh[1].where("tid < 60")), 0.5))
+query("gr_12_colored_icp")(lambda c: numbers(c.spark, alignment.colored_icp(points.transform(c.pts.select("id", *XYZ, *points.COLOR), linalg.rigid(None, (0.02, 0.01, -0.01))), c.pts, 0.5, iterations=5).transformation))
+query("gr_14_generalized_icp")(lambda c: numbers(c.spark, alignment.generalized_icp(points.transform(c.pts.select("id", *XYZ, *points.NORMAL), linalg.rigid(None, (0.02, 0.01, -0.01))), c.pts, 0.5, iterations=5).transformation))
+query("gr_16_fast_global")(lambda c: numbers(c.spark, alignment.fast_global(points.transform(c.xyz, M), c.xyz, _features(c, 1), _features(c, 1), 16, iterations=24).transformation))
 query("gr_25_find_path")(lambda c: _planned(c))
 
 
+def _occupancy(c: Inputs) -> DataFrame:
+    # (the sum's sign doesn't matter: only multiples of three count)
+    return c.vox.withColumn("prob_log", F.when((F.col("ix") + F.col("iy") + F.col("iz")) % 3 == 0, F.lit(-0.4)).otherwise(F.lit(0.85)))
+
+
 def _planned(c: Inputs) -> DataFrame:
     nodes, edges = planning.lattice(c.spark, (-1, -1, -1), (1, 1, 1), 5)
     path, length = planning.find_path(nodes, edges, (-0.9, -0.9, -0.9), (0.5, 0.5, 0.5), 0.5, [(c.vox.where("ix = 0 and iy = 0"), 0.5, (0, 0, 0))])
