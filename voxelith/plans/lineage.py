@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where none is set (tests) a temporary one is."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='voxelith-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed and written to the checkpoint folder, so that plans of loops don't grow and lost executors cost one round.
 
-    The folder is the one that spark.checkpoint.dir names; only where none is set (tests) a temporary one is.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelith-"))
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()

@@ -452,9 +452,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.estimate_normals(numbered, 10)
 
 
+def _register_more() -> None:
+    from . import more_queries  # noqa: F401  (registers on import)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _register_more()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register_more()
     return dict(ORACLES)

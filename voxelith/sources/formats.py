@@ -413,3 +413,17 @@ def write_point_message(cols: dict[str, np.ndarray]) -> bytes:
         r, g, b = (np.clip(np.round(np.asarray(cols[c], float) * 255), 0, 255).astype("<u4") for c in "rgb")
         rows["rgb"] = r << 16 | g << 8 | b
     return rows.tobytes()
+
+
+def read_image_message(data: bytes, width: int, height: int, encoding: str) -> np.ndarray:
+    """(height, width, 3) of a packed image, red first."""
+    if encoding not in ("rgb8", "bgr8"):
+        raise ValueError(f"unknown encoding: {encoding}")
+    image = np.frombuffer(data, np.uint8, width * height * 3).reshape(height, width, 3)
+    return image if encoding == "rgb8" else image[..., ::-1]
+
+
+def write_image_message(image: np.ndarray, encoding: str = "rgb8") -> bytes:
+    if encoding not in ("rgb8", "bgr8"):
+        raise ValueError(f"unknown encoding: {encoding}")
+    return np.ascontiguousarray(image if encoding == "rgb8" else image[..., ::-1]).tobytes()
