@@ -195,13 +195,16 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             places = batch.column(3)
             for a, s in _stretches(batch.column(2).to_pylist()):
+                pos, weight, doc = [], [], []
                 for d in range(len(s.begins)):
-                    own = places[a + d].as_py()
-                    pos = np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in own])
-                    weight = np.repeat([p["weight"] for p in own], [p["n"] for p in own])
-                    at = s.begins[d] + pos
-                    take = pa.array(np.full(len(pos), a + d))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(s.hashed(0, at, at + window).view(np.int64)), pa.array(s.hashed(1, at, at + window).view(np.int64))], names=schema.names)
+                    for p in places[a + d].as_py():
+                        pos.append(np.arange(p["start"], p["start"] + p["n"]))
+                        weight.append(np.full(p["n"], p["weight"]))
+                        doc.append(np.full(p["n"], d))
+                pos, weight, doc = (np.concatenate(x) for x in (pos, weight, doc))
+                at = s.begins[doc] + pos
+                take = pa.array(a + doc)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(s.hashed(0, at, at + window).view(np.int64)), pa.array(s.hashed(1, at, at + window).view(np.int64))], names=schema.names)
 
     return rows.select("id", "text_key", "text", "places").mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Words kept in the cache, and bytes of text that are taken at once.
-CACHE, BLOCK = 400_000, 1 << 20
+CACHE, BLOCK = 150_000, 1 << 18
 
 
 @lru_cache(1)
