@@ -277,7 +277,7 @@ query(
     "ag_05_voxel_down_sample",
     f"WITH m AS (SELECT min(x) - 0.25 AS a, min(y) - 0.25 AS b_, min(z) - 0.25 AS c FROM pts) SELECT floor((x - a) / 0.5)::INT AS ix, floor((y - b_) / 0.5)::INT AS iy, floor((z - c) / 0.5)::INT AS iz, {r(*[f'avg({k}) AS {k}' for k in (*XYZ, *points.COLOR)])} FROM pts, m GROUP BY 1, 2, 3",
 )(lambda c: points.voxel_down_sample(c.pts.select("id", *XYZ, *points.COLOR), 0.5))
-query("ag_05_voxel_down_sample_large", f"WITH p AS (SELECT l_quantity AS x, l_extendedprice / 700 AS y, l_discount AS z FROM lineitem), m AS (SELECT min(x) - 2.5 AS a, min(y) - 2.5 AS b_, min(z) - 2.5 AS c FROM p) SELECT floor((x - a) / 5)::INT AS ix, floor((y - b_) / 5)::INT AS iy, floor((z - c) / 5)::INT AS iz, {r('avg(x) AS x', 'avg(y) AS y', 'avg(z) AS z')} FROM p, m GROUP BY 1, 2, 3")(lambda c: points.voxel_down_sample(table(c.spark, c.sf_dir, "lineitem").select(F.lit(0).alias("id"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 700).alias("y"), F.col("l_discount").alias("z")), 5.0))
+query("ag_05_voxel_down_sample_large", f"WITH p AS (SELECT l_quantity * 0.8414709848078965 AS x, l_extendedprice * 0.0014142135623730951 AS y, l_discount * 0.7310585786300049 AS z FROM lineitem), m AS (SELECT min(x) - 2.5 AS a, min(y) - 2.5 AS b_, min(z) - 2.5 AS c FROM p) SELECT floor((x - a) / 5)::INT AS ix, floor((y - b_) / 5)::INT AS iy, floor((z - c) / 5)::INT AS iz, {r('avg(x) AS x', 'avg(y) AS y', 'avg(z) AS z')} FROM p, m GROUP BY 1, 2, 3")(lambda c: points.voxel_down_sample(table(c.spark, c.sf_dir, "lineitem").select(F.lit(0).alias("id"), (F.col("l_quantity") * 0.8414709848078965).alias("x"), (F.col("l_extendedprice") * 0.0014142135623730951).alias("y"), (F.col("l_discount") * 0.7310585786300049).alias("z")), 5.0))
 query("ag_06_normals")(lambda c: points.estimate_normals(c.xyz, 12).select("id", *points.NORMAL))
 query("ag_07_gaussian_filter", f"WITH {KNN.format(q='pts', t='pts')}, w AS (SELECT q, t, exp(-d2 / 0.5) AS w FROM k WHERE d2 < 0.64) SELECT q AS id, {r(*[f'sum({c} * w) / sum(w) AS {c}' for c in XYZ])} FROM w JOIN pts ON pts.id = t GROUP BY q")(lambda c: points.gaussian_filter(c.xyz, 0.8, 0.25, max_nn=10**6))
 query("ag_09_model_resolution", f"WITH {KNN.format(q='pts', t='pts')} SELECT {r('sqrt(avg(d2)) AS resolution')} FROM k WHERE rn = 2")(lambda c: points.model_resolution(c.xyz))
