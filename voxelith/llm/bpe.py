@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import dropped
+from .tokens import released
 
 # Automaton states: nothing open, in letters, numbers, other, white space, a space that joins what follows, and inside a
 # contraction with one or two code points to come.
@@ -35,7 +36,7 @@ BLOCK = 256
 #: Code points that are scanned at once.
 SCAN = 1 << 18
 #: Entries of the cache of merged slices, and the longest slice (code points) that it keeps.
-CACHE, CACHED_LENGTH = 400_000, 64
+CACHE, CACHED_LENGTH = 100_000, 64
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -264,7 +265,7 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks_path)
-        for batch in batches:
+        for batch in released(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in _blocks(texts, len):
                 ids = words.encode(texts[a:b])
@@ -283,7 +284,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", offsets_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks_path)
         i, o = names.index(ids_col), names.index(offsets_col)
-        for batch in batches:
+        for batch in released(batches):
             ids, starts = batch.column(i).to_pylist(), batch.column(o).to_pylist()
             for a, b in _blocks(ids, lambda x: len(x or b"")):
                 out = [words.decode(x, words.offsets(x) if s is None else np.frombuffer(s, "<u4").astype(np.int64)) for x, s in ((np.frombuffer(x or b"", "<u4"), s) for x, s in zip(ids[a:b], starts[a:b]))]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import blocks, mixed, odd_numbers
+from .tokens import blocks, mixed, odd_numbers, released
 
 #: Bytes of item text in a block.
 BLOCK_BYTES = 16 << 20
@@ -184,7 +184,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def _finder(shared, names: list[str], item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(2).to_pylist()
             for a, b in blocks(texts):
                 found = list(items.matches(texts[a:b]))

@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import dropped
+from .tokens import blocks, released
 
 UNKNOWN = "und"
 LONGEST = 5
 #: Log cost of each step to a shorter n-gram, and of a character that no n-gram covers.
 STEP, FLOOR = 0.7, -14.0
-CACHE = 200_000
+CACHE = 50_000
 #: Words longer than this (junk, or scripts without spaces) are scored in pieces of this length.
 PIECE = 40
 _letters = re.compile(r"[^\W\d_]+")
@@ -46,66 +47,76 @@ def words_of(text: str) -> list[str]:
 
 
 class Model:
-    """Log frequencies by word and by n-gram, a vector over the languages each."""
+    """Log frequencies by word and by n-gram: a row of a matrix each, a column for each language."""
 
     def __init__(self, langs: list[str], words: dict[str, dict[str, float]], grams: dict[str, dict[str, float]]):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
 
-        def logs(counts: dict[str, dict[str, float]], totals: np.ndarray) -> dict[str, np.ndarray]:
-            out = {}
-            for key, by in counts.items():
-                v = np.full(len(langs), 0.5)
+        def logs(counts: dict[str, dict[str, float]]) -> np.ndarray:
+            out = np.full((len(counts), len(langs)), 0.5)
+            for row, by in enumerate(counts.values()):
                 for lang, n in by.items():
-                    v[at[lang]] += n
-                out[key] = np.log(v / totals)
-            return out
+                    out[row, at[lang]] += n
+            return np.log(out / (out.sum(axis=0) + 1))
 
-        def totals(counts: dict[str, dict[str, float]]) -> np.ndarray:
-            t = np.full(len(langs), 0.5 * len(counts) + 1)
-            for by in counts.values():
-                for lang, n in by.items():
-                    t[at[lang]] += n
-            return t
-
-        self.words = logs(words, totals(words))
-        self.grams: dict[str, np.ndarray] = {}
+        self.words = {w: i for i, w in enumerate(words)}
+        self.word_logs = logs(words)
+        self.grams: dict[str, int] = {}
+        parts = []
         for size in range(1, LONGEST + 1):
             own = {g: by for g, by in grams.items() if len(g) == size}
-            self.grams |= logs(own, totals(own))
-        self.cache: dict[str, np.ndarray] = {}
+            self.grams |= {g: len(self.grams) + i for i, g in enumerate(own)}
+            parts.append(logs(own))
+        self.gram_logs = np.concatenate(parts)
+        self._start()
+
+    def _start(self) -> None:
+        """An empty cache of unseen words, with rows after those of the known ones."""
+        self.cache: dict[str, int] = {}
+        self.table = np.concatenate([self.word_logs, np.zeros((CACHE, len(self.langs)))])
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "table")}
 
-    def word(self, w: str) -> np.ndarray:
-        got = self.words.get(w)
-        if got is None and (got := self.cache.get(w)) is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            got = self.cache[w] = self.unseen(w)
-        return got
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._start()
 
     def unseen(self, w: str) -> np.ndarray:
-        marked, out, i = f"^{w}$", np.zeros(len(self.langs)), 0
+        marked, rows, i, cost = f"^{w}$", [], 0, 0.0
         while i < len(marked):
             for size in range(min(LONGEST, len(marked) - i), 0, -1):
-                got = self.grams.get(marked[i : i + size])
-                if got is not None:
-                    out += got - STEP * (LONGEST - size)
+                row = self.grams.get(marked[i : i + size])
+                if row is not None:
+                    rows.append(row)
+                    cost -= STEP * (LONGEST - size)
                     break
             else:
-                out += FLOOR
+                cost += FLOOR
             i += size
-        return out
+        return self.gram_logs[rows].sum(axis=0) + cost
+
+    def row(self, w: str) -> int:
+        """The row of a word's logs in the table."""
+        got = self.words.get(w)
+        if got is None and (got := self.cache.get(w)) is None:
+            got = self.cache[w] = len(self.words) + len(self.cache)
+            self.table[got] = self.unseen(w)
+        return got
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
+        counts = Counter(words)
         total = np.zeros(len(self.langs))
-        for w, n in Counter(words).items():
-            total += n * self.word(w)
+        kinds, times = list(counts), np.fromiter(counts.values(), float, len(counts))
+        for a in range(0, len(kinds), CACHE):
+            part = kinds[a : a + CACHE]
+            if len(self.cache) + len(part) > CACHE:
+                self.cache.clear()
+            total += times[a : a + CACHE] @ self.table[[self.row(w) for w in part]]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -129,6 +140,7 @@ def fit(df: DataFrame, per_language: int = 3000, words: int = 20_000, grams: int
     split = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     counts = chosen.select("lang", F.explode(split).alias("word")).where(F.length("word") <= PIECE).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+
     # a word's n-grams count by its kinds, softened, so that unseen words look like them
     def of_size(n: int):
         starts = F.sequence(F.lit(1), F.length(marked) - (n - 1))
@@ -162,9 +174,11 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, lang_col, score_col])
+        for batch in released(batches):
+            for a, b in blocks([t.as_py() for t in batch.column(at)]):
+                part = batch.slice(a, b - a)
+                found = [own.predict(t.as_py()) for t in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, lang_col, score_col])
 
     # the text goes along once
     carried = text_col in names and isinstance(rest.schema[text_col].dataType, T.StringType)

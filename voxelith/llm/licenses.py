@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import blocks, mixed, odd_numbers
+from .tokens import blocks, mixed, odd_numbers, released
 
 GRAM, WINDOW = 3, 2
 _words = re.compile(r"\w+")
@@ -181,7 +181,7 @@ def scan(df: DataFrame, templates: dict[str, list[str]] | None = None, coverage:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 found = [(i, *x) for i in range(a, b) for x in index.scan(texts[i], coverage)]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 from .components import components
-from .tokens import blocks, mixed, odd_numbers, split, word_hashes
+from .tokens import blocks, mixed, odd_numbers, released, word_hashes
 
 POSITIONS, CHUNKS, ALLOWED = 30, 5, 3
 WIDTH = POSITIONS // CHUNKS
@@ -76,7 +76,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
     """(id, text_key, n, set_key, sig) of each row; set_key and sig are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             n, keys, sigs = [], [], []
             for s in shingle_sets(batch.column(2).to_pylist(), words):
                 n.append(len(s))
@@ -94,7 +94,7 @@ def index_keys(classes: DataFrame) -> DataFrame:
     choices = np.array(CHOICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in released(batches):
             for i in range(0, whole.num_rows, 2000):
                 batch = whole.slice(i, 2000)
                 sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, POSITIONS).astype(np.int64)
@@ -122,7 +122,7 @@ def full_sets(reps: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, t
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["text_key"] == wanted["text_key"])).select("rep", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             found = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column(1).to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "set"])
 
@@ -133,7 +133,7 @@ def alone_counts(sets: DataFrame) -> DataFrame:
     """(rep, alone): how many shingles no other of these sets has; sets without such are left out."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for rep, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = np.frombuffer(x.as_buffer(), "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep)), pa.array(own)], names=["rep", "shingle"])
@@ -154,7 +154,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     pairs = pairs.where(_near(percent)).select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             shared, beyond, linked = [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import dropped, free_name, saved
-from .tokens import blocks, mixed, odd_numbers, split, word_hashes
+from .tokens import blocks, mixed, odd_numbers, released, split, word_hashes
 
 ROUNDS = 3
 _K = odd_numbers(8, 17)
@@ -176,7 +176,7 @@ def _instances(rows: DataFrame, window: int) -> DataFrame:
     schema = T.StructType([rows.schema["id"], rows.schema["text_key"], *[T.StructField(n, t) for n, t in (("anchor", T.LongType()), ("span", T.LongType()), ("start", T.IntegerType()), ("n", T.IntegerType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for a, s in _stretches(batch.column(2).to_pylist()):
                 anchor, span, first, count = instances(s, window)
                 if len(first):
@@ -192,7 +192,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     schema = T.StructType([rows.schema["id"], rows.schema["text_key"], *[T.StructField(n, t) for n, t in (("pos", T.IntegerType()), ("weight", T.IntegerType()), ("wa", T.LongType()), ("wb", T.LongType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             places = batch.column(3)
             for a, s in _stretches(batch.column(2).to_pylist()):
                 pos, weight, doc = [], [], []
@@ -257,7 +257,7 @@ def dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str
     schema = T.StructType([*[own.schema[c] for c in names], T.StructField(text_col, T.StringType()), T.StructField(words_col, T.LongType()), T.StructField(removed_col, T.LongType()), T.StructField(spans_col, spans)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             texts, found = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1)
             for a, b in blocks(texts):
                 kept, n, gone, cuts = [], [], [], []

@@ -3,32 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-#: Words kept in the cache, and bytes of text that are taken at once.
-CACHE, BLOCK = 150_000, 1 << 18
+#: Bytes of text that are taken at once.
+BLOCK = 1 << 18
 
 
-@lru_cache(1)
-def _cache() -> dict[bytes, int]:
-    return {}
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what each needed is given back to the system before the next one comes."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _cache()
-    digest = xxhash.xxh3_64_intdigest
-    if len(known) > CACHE:
-        known.clear()
-    get = known.get
-    out = [get(w) for w in words]
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                known[words[i]] = out[i] = digest(words[i])
-    return np.array(out, np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def split(text: str | None) -> list[bytes]:
