@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.llm import bpe, decontaminate, langid, lines, neardup
-from voxelith.llm.common import saved, table
+from voxelith.llm.common import bounded_batches, saved, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: null texts, texts without letters, and those that no language explains better than all others together go."""
+    bounded_batches(spark)
     found = langid.predict(docs, langid.fit(docs), lang_col="lang_pred__", score_col="score__")
     return found.where("lang_pred__ <> 'und' and score__ >= 0.5").select(*docs.columns)
 
@@ -29,6 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows equal in id and text one."""
+    bounded_batches(spark)
     groups = saved(neardup.groups(docs, words=5, percent=75))
     kept = groups.where("kept").select(F.col("id").alias("id__"), "text_key").distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id__"]) & (F.xxhash64(docs["text"]) == kept["text_key"]), "left_semi")
@@ -39,12 +41,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
+    bounded_batches(spark)
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), rate=0.25)
     return decontaminate.clean(docs, found)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document (little-endian unsigned 32-bit integers), and whether they decode to its text."""
+    bounded_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = bpe.decode(bpe.encode(docs, ranks), ranks)
     lossless = (F.col("decoded") == F.col("text").cast("binary")).alias("lossless")
