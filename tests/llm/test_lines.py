@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from voxelith.llm import lines
+from voxelith.llm import lines, queries
 
 
 def distance(a, b):
@@ -79,3 +79,19 @@ def test_equal_rows_are_alike_and_tables_may_be_empty(spark):
     got = sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup(df).collect())
     assert got == [(0, text), (1, ""), (1, ""), (2, "")]
     assert lines.dedup(df.limit(0)).count() == 0
+
+
+def test_short_lines_take_part_with_equal_ones_only(spark):
+    long = "a line that is long enough to count"
+    rows = [(1, f"Les.\n{long}\n\nLes,"), (2, f"Les.\n\n{long}!"), (3, "Les.\nx\nLes;"), (4, "Les,\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(df, exact_from=1).collect()}
+    assert got == {1: (rows[0][1], 4, 0), 2: ("", 3, 2), 3: ("x\nLes;", 3, 1), 4: ("", 2, 2)}
+
+
+def test_the_query_leaves_no_equal_lines(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = [t for (t,) in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if t]
+    parts = [p for t in texts for p in t.split("\n")]
+    found = queries.op10_lines_all(spark, sf).agg(F.sum(F.col("n_lines") - F.col("n_removed"))).head()[0]
+    assert found <= len({p for p in parts if p}) + parts.count("")

@@ -1,8 +1,8 @@
 """Line deduplication within an edit distance; DataFrame functions only.
 
-Lines are what newlines separate; those of at least `shortest` code points take part, shorter ones always stay. A line stays if it is the
-first occurrence of its text, by (id, hash of the document's text, position), and no line with an earlier first occurrence is within
-`threshold` edits of it.
+Lines are what newlines separate; those of at least `exact_from` code points (`shortest`, if it is not given) take part, shorter ones always
+stay. A line stays if it is the first occurrence of its text, by (id, hash of the document's text, position), and no line with an earlier
+first occurrence is within `threshold` edits of it; lines of less than `shortest` code points are compared with equal ones only.
 
 Two lines within the threshold share a segment: a line of length l is cut into threshold + 1 segments, and some segment stands
 unchanged in the other line, shifted by no more than the edits before and after it allow. Segments are index keys together with l
@@ -124,10 +124,10 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > threshold, F.lit(False)).when(a == b, F.lit(True)).otherwise(near)
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFrame:
+def _lines(df: DataFrame, id_col: str, text_col: str, exact_from: int) -> DataFrame:
     """(id, text_key, pos, line, h1, h2) of each line that takes part."""
     text = F.col(text_col).cast("string")
-    each = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, LINE)).alias("pos", "line")).where(F.length("line") >= shortest)
+    each = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, LINE)).alias("pos", "line")).where(F.length("line") >= exact_from)
     return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))})
 
 
@@ -138,11 +138,11 @@ def _late(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return saved(pairs.where(within(F.col("line_a"), F.col("line_b"), threshold)).select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct())
 
 
-def first_lines(df: DataFrame, id_col: str, text_col: str, threshold: int, shortest: int) -> DataFrame:
+def first_lines(df: DataFrame, id_col: str, text_col: str, threshold: int, shortest: int, exact_from: int) -> DataFrame:
     """(id, text_key, pos) of the lines that take part and stay."""
-    lines = _lines(df, id_col, text_col, shortest)
+    lines = _lines(df, id_col, text_col, exact_from)
     firsts = saved(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_key", "pos")).alias("first")))
-    keyed = saved(keys(lines, threshold))
+    keyed = saved(keys(lines.where(F.length("line") >= shortest), threshold))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).where("low < high and own").select("key")
     members = saved(keyed.join(shared, "key").groupBy("key", "h1").agg(F.max("own").alias("own")))
     wanted = firsts.join(members.select("h1").distinct(), "h1").select("h1", "h2", "first.id", "first.text_key", "first.pos")
@@ -162,19 +162,20 @@ def first_lines(df: DataFrame, id_col: str, text_col: str, threshold: int, short
     return firsts.join(late, ["h1", "h2"], "left_anti").select("first.id", "first.text_key", "first.pos")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, shortest: int = 20, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, shortest: int = 20, lines_col: str = "n_lines", removed_col: str = "n_removed", exact_from: int | None = None) -> DataFrame:
     """df with the text that its lines leave, the number of lines before and of those removed; columns of these names are replaced."""
     if shortest <= threshold:
         raise ValueError("lines have to be longer than the threshold")
+    exact_from = shortest if exact_from is None else min(exact_from, shortest)
     own = dropped(df, lines_col, removed_col)
-    stay = first_lines(own, id_col, text_col, threshold, shortest).groupBy("id", "text_key").agg(F.collect_list("pos").alias("stay"))
+    stay = first_lines(own, id_col, text_col, threshold, shortest, exact_from).groupBy("id", "text_key").agg(F.collect_list("pos").alias("stay"))
     key, kept, parts, places, other = (free_name(own, x) for x in ("text_key__", "stay__", "parts__", "places__", "id__"))
     stay = stay.select(F.col("id").alias(other), F.col("text_key").alias(key), F.col("stay").alias(kept))
     text = F.col(text_col).cast("string")
     keyed = own.withColumn("own_" + key, F.xxhash64(text))
     out = keyed.join(stay, keyed[id_col].eqNullSafe(stay[other]) & (keyed["own_" + key] == stay[key]), "left").drop(key, other, "own_" + key)
     out = out.withColumn(parts, F.split(text, LINE))
-    spots = F.transform(F.col(parts), lambda p, i: F.when(F.length(p) < shortest, i))
+    spots = F.transform(F.col(parts), lambda p, i: F.when(F.length(p) < exact_from, i))
     free = F.filter(spots, lambda i: i.isNotNull())
     out = out.withColumn(places, F.array_sort(F.array_union(free, F.coalesce(F.col(kept), F.array().cast("array<int>")))))
     whole = F.array_join(F.transform(F.col(places), lambda i: F.get(F.col(parts), i)), LINE)

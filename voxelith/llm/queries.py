@@ -100,6 +100,12 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_lines, but every line that is not empty takes part; the short ones are compared with equal ones only."""
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=1, shortest=20, exact_from=1)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -112,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_shards": op8_shards,
         "op9_urls": op9_urls,
         "op10_lines": op10_lines,
+        "op10_lines_all": op10_lines_all,
     }
 
 
