@@ -174,8 +174,18 @@ query("fl_34_segment_segment")(lambda c: _segments(c).select("id", predicates.se
 
 
 def _tested(c: Inputs, test) -> DataFrame:
-    rows = c.xyz.where("id < 60").orderBy("id").toPandas()[list(XYZ)].to_numpy().reshape(20, 3, 3)
-    return c.spark.createDataFrame([(i, bool(test(t, rows[(i + 1) % 20]))) for i, t in enumerate(rows)], "id long, hit boolean")
+    """test(t, u) for each three points in a row and the three after them; the last three are followed by the first."""
+    import pandas as pd
+
+    of = c.xyz.groupBy(F.expr("id div 3").alias("i")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", *XYZ))), lambda p: F.array(*[p[k] for k in XYZ]))).alias("t")).where("size(t) = 9")
+    n = of.count()
+    both = of.join(of.select(((F.col("i") + (n - 1)) % n).alias("i"), F.col("t").alias("u")), "i")
+
+    def tested(batches):
+        for x in batches:
+            yield pd.DataFrame({"id": x["i"], "hit": [bool(test(np.reshape(t, (3, 3)), np.reshape(u, (3, 3)))) for t, u in zip(x["t"], x["u"])]})
+
+    return both.mapInPandas(tested, "id long, hit boolean")
 
 
 query("fl_23_triangle_triangle")(lambda c: _tested(c, triangle_triangle))

@@ -128,3 +128,29 @@ def triangle_triangle(a: np.ndarray, b: np.ndarray) -> bool:
         if p.max() < q.min() - 1e-12 or q.max() < p.min() - 1e-12:
             return False
     return True
+
+
+def triangles_boxes(triangles: np.ndarray, centers: np.ndarray, size: float) -> np.ndarray:
+    """triangle_box for each triangle (n, 3, 3) and the cube about its centre (n, 3)."""
+    t = triangles - centers[:, None, :]
+    edges = np.roll(t, -1, axis=1) - t
+    axes = [np.broadcast_to(x, centers.shape) for x in np.eye(3)] + [np.cross(edges[:, 0], edges[:, 1])] + [np.cross(edges[:, i], x) for i in range(3) for x in np.eye(3)]
+    meet = np.ones(len(t), bool)
+    for x in axes:
+        p, reach = np.einsum("nij,nj->ni", t, x), np.abs(x).sum(1) * size / 2
+        meet &= (p.min(1) <= reach) & (p.max(1) >= -reach)
+    return meet
+
+
+def triangles_triangles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """triangle_triangle for each pair of triangles (n, 3, 3)."""
+    ea, eb = np.roll(a, -1, axis=1) - a, np.roll(b, -1, axis=1) - b
+    na, nb = np.cross(ea[:, 0], ea[:, 1]), np.cross(eb[:, 0], eb[:, 1])
+    axes = [na, nb, *(np.cross(ea[:, i], eb[:, j]) for i in range(3) for j in range(3))]
+    axes += [np.cross(na, ea[:, i]) for i in range(3)] + [np.cross(nb, eb[:, i]) for i in range(3)]
+    meet = np.ones(len(a), bool)
+    for x in axes:
+        p, q = np.einsum("nij,nj->ni", a, x), np.einsum("nij,nj->ni", b, x)
+        apart = (p.max(1) < q.min(1) - 1e-12) | (q.max(1) < p.min(1) - 1e-12)
+        meet &= ~apart | (np.linalg.norm(x, axis=1) < 1e-12)
+    return meet

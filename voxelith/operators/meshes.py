@@ -359,7 +359,7 @@ def self_intersecting_triangles(mesh: Mesh, size: float) -> DataFrame:
     """(t0, t1), t0 < t1: triangles without a common vertex that meet; they are paired on cells of the given size that both bounding boxes touch."""
     import pandas as pd
 
-    from .boxes import triangle_triangle
+    from .boxes import triangles_triangles
 
     places = [f"{c}{n}" for n in range(3) for c in XYZ]
     one = _cells(corners(mesh), size)
@@ -369,7 +369,7 @@ def self_intersecting_triangles(mesh: Mesh, size: float) -> DataFrame:
 
     def meet(batches):
         for x in batches:
-            keep = [triangle_triangle(np.reshape(p, (3, 3)), np.reshape(q, (3, 3))) for p, q in zip(x["p"], x["q"])]
+            keep = triangles_triangles(*(np.array(x[k].tolist(), float).reshape(-1, 3, 3) for k in ("p", "q")))
             yield pd.DataFrame({"t0": x["t0"][keep], "t1": x["t1"][keep]})
 
     return near.mapInPandas(meet, "t0 long, t1 long")
@@ -379,7 +379,7 @@ def voxelized(mesh: Mesh, size: float, low: Sequence[float] | None = None) -> Da
     """Cells that some triangle meets; a cell's box is centred at its lower corner. Cells start half a voxel below the least corner unless `low` is given."""
     import pandas as pd
 
-    from .boxes import Box, triangle_box
+    from .boxes import triangles_boxes
 
     if low is None:
         r = mesh[0].agg(*[F.min(c).alias(c) for c in XYZ]).first()
@@ -391,7 +391,7 @@ def voxelized(mesh: Mesh, size: float, low: Sequence[float] | None = None) -> Da
     def meet(batches):
         for x in batches:
             at = x[["ix", "iy", "iz"]].to_numpy() * size + np.asarray(low)
-            keep = [triangle_box(np.reshape(p, (3, 3)), Box(tuple(c - size / 2), tuple(c + size / 2))) for c, p in zip(at, x["p"])]
+            keep = triangles_boxes(np.array(x["p"].tolist(), float).reshape(-1, 3, 3), at, size)
             yield x.loc[keep, ["ix", "iy", "iz"]]
 
     return tried.mapInPandas(meet, "ix int, iy int, iz int").distinct()

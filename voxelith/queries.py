@@ -212,7 +212,8 @@ query("fl_16_18_occupancy_split", "WITH e AS (SELECT ix, iy, iz, count(*) FILTER
 query("fl_19_degenerate_triangles", f"WITH {TRI} SELECT tid, v0, v1, CASE WHEN tid % 4 = 0 THEN v0 ELSE v2 END AS v2 FROM tri WHERE tid % 4 <> 0")(lambda c: meshes.remove_degenerate_triangles(c.mesh[1].withColumn("v2", F.when(F.col("tid") % 4 == 0, F.col("v0")).otherwise(F.col("v2")))))
 query("fl_20_unreferenced_vertices", f"WITH {TRI}, s AS (SELECT * FROM tri WHERE tid % 10 = 0), u AS (SELECT v0 AS id FROM s UNION SELECT v1 FROM s UNION SELECT v2 FROM s) SELECT row_number() OVER (ORDER BY id) - 1 AS id, {r('x', 'y', 'z')} FROM pts SEMI JOIN u USING (id)")(lambda c: meshes.remove_unreferenced_vertices((c.mesh[0], c.mesh[1].where("tid % 10 = 0")))[0])
 query("fl_21_remove_edges", f"SELECT src, dst, {r('weight')} FROM net WHERE NOT (src % 10 = 0 AND dst = src + 1) AND NOT (dst % 10 = 0 AND src = dst + 1)")(lambda c: graphs.remove_edges(c.net, c.net.where("src % 10 = 0 and dst = src + 1")))
-query("fl_25_aabb_aabb", "SELECT a.id AS a, b.id AS b FROM pts a JOIN ptb b ON b.id < 20 AND abs(a.x - b.x) <= 0.5 AND abs(a.y - b.y) <= 0.5 AND abs(a.z - b.z) <= 0.5")(lambda c: _boxes(c))
+query("fl_25_aabb_aabb", "SELECT a.id AS a, b.id AS b FROM pts a JOIN ptb b ON b.id < 20 AND abs(a.x - b.x) <= 0.5 AND abs(a.y - b.y) <= 0.5 AND abs(a.z - b.z) <= 0.5")(lambda c: _boxes(c.xyz, c.ptb.where("id < 20")))
+query("fl_25_aabb_aabb_all", "SELECT a.id AS a, b.id AS b FROM pts a JOIN ptb b ON abs(a.x - b.x) <= 0.5 AND abs(a.y - b.y) <= 0.5 AND abs(a.z - b.z) <= 0.5")(lambda c: _boxes(c.xyz, c.ptb))
 SEG = "seg AS (SELECT a.id, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM pts a JOIN ptb b USING (id))"
 query("fl_31_point_line", f"WITH {SEG}, w AS (SELECT id, ax * 0 + ay AS px, ay * bz - az * by_ AS c1, az * bx - ax * bz AS c2, ax * by_ - ay * bx AS c3, bx, by_, bz FROM seg) SELECT id, {r('sqrt(c1 * c1 + c2 * c2 + c3 * c3) / sqrt(bx * bx + by_ * by_ + bz * bz) AS d')} FROM w")(lambda c: _segments(c).select("id", predicates.point_line(_abc("a"), [F.lit(0.0)] * 3, _abc("b")).alias("d")))
 query("fl_33_point_aabb", f"SELECT id, {r('pow(greatest(-1 - x, 0, x - 1), 2) + pow(greatest(-0.5 - y, 0, y - 0.5), 2) + pow(greatest(0 - z, 0, z - 1), 2) AS d2')} FROM pts")(lambda c: c.xyz.select("id", predicates.point_aabb_squared([F.col(k) for k in XYZ], [F.lit(v) for v in (-1.0, -0.5, 0.0)], [F.lit(v) for v in (1.0, 0.5, 1.0)]).alias("d2")))
@@ -227,9 +228,8 @@ def _segments(c: Inputs) -> DataFrame:
     return c.xyz.select("id", *[F.col(k).alias(f"a{k}") for k in XYZ]).join(c.ptb.select("id", *[F.col(k).alias(f"b{k}") for k in XYZ]), "id")
 
 
-def _boxes(c: Inputs) -> DataFrame:
+def _boxes(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of overlapping cubes, met on the cells of one table's centres."""
-    a, b = c.xyz, c.ptb.where("id < 20")
     near = spatial.radius_join(a, b, 0.9, keep_query=XYZ, keep_target=XYZ)
     box = lambda p, s: [F.col(f"{p}_{k}") + s * 0.25 for k in XYZ]
     return near.where(predicates.aabb_aabb(box("q", -1), box("q", 1), box("t", -1), box("t", 1))).select(F.col("q").alias("a"), F.col("t").alias("b"))
@@ -425,9 +425,9 @@ query("io_57_occupancy_of_voxels", "SELECT ix, iy, iz, 0.85::DOUBLE AS prob_log
 query("pr_65_tracked_bounds", f"SELECT {r(*[f'min({k}) * 0.5 AS min_{c}' for c, k in zip(XYZ, voxels.KEYS)], *[f'(max({k}) + 1) * 0.5 AS max_{c}' for c, k in zip(XYZ, voxels.KEYS)])} FROM vox")(lambda c: voxels.tracked_bounds(_occupancy(c), 0.5))
 query("pr_21_paint_voxels", "SELECT vox.ix, vox.iy, vox.iz, CASE WHEN w.ix IS NULL THEN 0.25 ELSE 1.0 END::DOUBLE AS r FROM vox LEFT JOIN voxb w USING (ix, iy, iz)")(lambda c: voxels.paint(_colored(c.vox, 0.25), c.voxb, (1, 1, 1)).select(*voxels.KEYS, "r"))
 query("jn_15_occupancy_voxels", f"WITH {OCC}, t AS (SELECT b.ix AS bx, b.iy AS \"by\", b.iz AS bz, min({{'x': a.ix, 'y': a.iy, 'z': a.iz}}) AS v FROM voxb b JOIN occ a ON a.p > 0 AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 GROUP BY b.ix, b.iy, b.iz) SELECT t.bx, t.\"by\", t.bz, v.x AS ax, v.y AS ay, v.z AS az FROM t")(lambda c: voxels.collide_occupied(_occupancy(c), c.voxb, 0.5, 0.5, (0, 0, 0), (0, 0, 0)))
-query("jn_17_voxel_capsules")(lambda c: voxels.collide_capsules(c.vox, _segments(c).where("id < 50").select(F.col("id").alias("pid"), *[F.col(f"a{k}").alias(f"{k}0") for k in XYZ], *[F.col(f"b{k}").alias(f"{k}1") for k in XYZ], F.lit(0.2).alias("radius")), 0.5, (0, 0, 0)))
-query("jn_23_self_intersections")(lambda c: meshes.self_intersecting_triangles((c.mesh[0], c.mesh[1].where("tid < 60")), 1.0))
-query("io_55_voxelized_mesh")(lambda c: meshes.voxelized((c.mesh[0], c.mesh[1].where("tid < 60")), 0.5))
+query("jn_17_voxel_capsules")(lambda c: voxels.collide_capsules(c.vox, _segments(c).select(F.col("id").alias("pid"), *[F.col(f"a{k}").alias(f"{k}0") for k in XYZ], *[F.col(f"b{k}").alias(f"{k}1") for k in XYZ], F.lit(0.2).alias("radius")), 0.5, (0, 0, 0)))
+query("jn_23_self_intersections")(lambda c: meshes.self_intersecting_triangles(c.mesh, 1.0))
+query("io_55_voxelized_mesh")(lambda c: meshes.voxelized(c.mesh, 0.5))
 query("gr_12_colored_icp")(lambda c: numbers(c.spark, alignment.colored_icp(points.transform(c.pts.select("id", *XYZ, *points.COLOR), linalg.rigid(None, (0.02, 0.01, -0.01))), c.pts, 0.5, iterations=5).transformation))
 query("gr_14_generalized_icp")(lambda c: numbers(c.spark, alignment.generalized_icp(points.transform(c.pts.select("id", *XYZ, *points.NORMAL), linalg.rigid(None, (0.02, 0.01, -0.01))), c.pts, 0.5, iterations=5).transformation))
 query("gr_16_fast_global")(lambda c: numbers(c.spark, alignment.fast_global(points.transform(c.xyz, M), c.xyz, _features(c, 1), _features(c, 1), 16, iterations=24).transformation))
