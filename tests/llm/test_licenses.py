@@ -68,3 +68,18 @@ def test_query_finds_the_planted_lines(spark):
     want = {(r["doc_id"], n) for r in docs for line, n in lines.items() if r["text"] and line in r["text"]}
     got = {(r["doc_id"], r["license"]) for r in queries.op6_licenses(spark, sf).collect()}
     assert want and got == want
+
+
+def test_reserved_rights_are_found_wherever_they_stand(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("contains(text, 'All rights reserved.')").select("doc_id", "text")
+    want = {r["doc_id"] for r in docs.collect()}
+    got = licenses.scan(docs, licenses.ALL_TEMPLATES).where("license = 'All-Rights-Reserved'").collect()
+    assert want and {r["id"] for r in got} == want
+
+
+def test_notices_of_more_licenses():
+    index = licenses.Index(licenses.ALL_TEMPLATES)
+    for name in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "EPL-2.0", "Proprietary", "BSD", "MPL-2.0", "ISC", "All-Rights-Reserved"):
+        for notice in licenses.ALL_TEMPLATES[name]:
+            assert [x[0] for x in index.scan(f"so it says\n{notice}.\nand more of it", 0.85)] == [name], notice

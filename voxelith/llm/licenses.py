@@ -48,10 +48,25 @@ TEMPLATES = {
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "SPDX-License-Identifier: GPL-2.0",
     ],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+        "SPDX-License-Identifier: LGPL-2.1",
+    ],
+    "LGPL-3.0": ["SPDX-License-Identifier: LGPL-3.0"],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "SPDX-License-Identifier: AGPL-3.0",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "Proprietary": ["This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited"],
+    "BSD": ["SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "MPL-2.0": ["SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "ISC": ["SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -59,6 +74,9 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
 }
 
+#: With notices that grant nothing.
+ALL_TEMPLATES = TEMPLATES | {"All-Rights-Reserved": ["All rights reserved"]}
+
 
 def words_of(text: str | None) -> list[str]:
     return [w.lower() for w in _words.findall(text)] if text else []
@@ -125,6 +143,8 @@ class Index:
                 for p in winnowed(hashes).tolist():
                     self.places[int(hashes[p])].append((number, p))
         self.keys = np.array(sorted(self.places), np.uint64)
+        # a notice this short may stand where no window of the document chooses its fingerprint
+        self.short = np.array([h for h, at in self.places.items() if any(len(self.words[t]) < GRAM + WINDOW - 1 for t, _ in at)], np.uint64)
 
     def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place, template, place in the template) of each fingerprint that a document shares."""
@@ -134,7 +154,7 @@ class Index:
         i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         if not (self.keys[i] == hashes).any():
             return
-        chosen = winnowed(hashes)
+        chosen = np.union1d(winnowed(hashes), np.flatnonzero(np.isin(hashes, self.short)))
         for p in chosen[self.keys[i[chosen]] == hashes[chosen]].tolist():
             for template, place in self.places[int(hashes[p])]:
                 yield p, template, place
