@@ -68,3 +68,11 @@ def test_long_chains(spark):
     chain = [page(i, f"http://h{i}.xyz/", refresh=f"http://h{i + 1}.xyz/") for i in range(40)] + [page(40, "http://h40.xyz/", canonical="http://x.org/es/1")]
     df = spark.createDataFrame(chain, "page_id long, url string, html string").withColumn("key", F.lit(1))
     assert {r["verdict"] for r in urls.judge(df, RULES).collect()} == {"block"}
+
+
+def test_every_tag_of_a_page_counts(spark):
+    tags = "<link rel=canonical href=/2><link rel=canonical href=http://www.com/en/spam><meta http-equiv=refresh content='0; url=/3'><meta http-equiv=refresh content='0; url=/4'>"
+    rows = [(1, "http://a.xyz/1", tags), *[(i, f"http://a.xyz/{i}", "<p>") for i in (2, 3, 4, 5)]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert urls.links(df).count() == 4
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(df, RULES).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}

@@ -72,9 +72,13 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         "canonical": r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
         "redirect": r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)""",
     }
+
+    def every(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda to: F.struct(F.lit(kind).alias("kind"), to.alias("to")))
+
     # most pages have neither; the cheap test comes first
     some = pages.where(html.rlike(r"(?i)\bcanonical\b|\brefresh\b")).select(url.alias("url"), html.alias("html"))
-    found = some.select("url", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("html", p, 1).alias("to")) for k, p in tag.items()])).alias("l")).select("url", "l.kind", F.replace(F.col("l.to"), F.lit("&amp;"), F.lit("&")).alias("to")).where("to <> ''")
+    found = some.select("url", F.explode(F.flatten(F.array(*[every(k, p) for k, p in tag.items()]))).alias("l")).select("url", "l.kind", F.replace(F.col("l.to"), F.lit("&amp;"), F.lit("&")).alias("to")).where("to <> ''")
     found = found.withColumns({"base": F.regexp_extract("url", _HEAD + r"[^/?#]*", 0), "path": path_of(F.col("url"))})
     folder = F.when(F.col("path") == "", F.lit("/")).otherwise(F.regexp_replace("path", r"[^/]*$", ""))
     whole = (
