@@ -11,32 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.llm import bpe, decontaminate, langid, lines, neardup
-from voxelith.llm.common import bounded_batches, saved, table
+from voxelith.llm.common import bounded_batches, free_name, saved, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: null texts, texts without letters, and those that no language explains better than all others together go."""
     bounded_batches(spark)
-    found = langid.predict(docs, langid.fit(docs), lang_col="lang_pred__", score_col="score__")
-    return found.where("lang_pred__ <> 'und' and score__ >= 0.5").select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred__"), free_name(docs, "score__")
+    found = langid.predict(docs, langid.fit(docs), lang_col=lang, score_col=score)
+    return found.where((F.col(lang) != "und") & (F.col(score) >= 0.5)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier in the corpus; those that lost all they had go."""
-    found = lines.dedup(docs, threshold=1, shortest=20, lines_col="lines__", removed_col="removed__")
-    found = found.where("removed__ = 0 or trim(text) <> ''")
+    """Documents without the lines that stand earlier in the corpus; those that lost all they had but empty lines go."""
+    before, gone = free_name(docs, "lines__"), free_name(docs, "removed__")
+    found = lines.dedup(docs, threshold=2, shortest=20, lines_col=before, removed_col=gone, exact_from=1)
+    found = found.where((F.col(gone) == 0) | F.col("text").rlike(r"\S"))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows equal in id and text one."""
+    """One document of each group of near-duplicates; of rows equal in id and text the one whose other columns sort first."""
     bounded_batches(spark)
     groups = saved(neardup.groups(docs, words=5, percent=75))
-    kept = groups.where("kept").select(F.col("id").alias("id__"), "text_key").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id__"]) & (F.xxhash64(docs["text"]) == kept["text_key"]), "left_semi")
+    kept = groups.where("kept").select(F.col("id").alias("id__"), F.col("text_key").alias("text_key__")).distinct()
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id__"]) & (F.xxhash64(docs["text"]) == kept["text_key__"]), "left_semi")
     repeats = groups.where("kept").groupBy("id", "text_key").count().where("count > 1")
     # only where ids repeat is there anything left to do
-    return out if repeats.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    return out if repeats.isEmpty() else out.groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in out.columns if c not in ("doc_id", "text")])).alias("rest")).select("doc_id", "text", "rest.*").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ from voxelith.llm import lines, queries
 
 
 def distance(a, b):
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -16,7 +20,7 @@ def distance(a, b):
 
 def edited(rng, text, n):
     for _ in range(n):
-        i = rng.randrange(len(text))
+        i = rng.randrange(max(1, len(text)))
         text = rng.choice([text[:i] + text[i + 1 :], text[:i] + rng.choice("abé") + text[i:], text[:i] + rng.choice("abé") + text[i + 1 :]])
     return text
 
@@ -25,31 +29,32 @@ def test_band_is_the_distance(spark):
     rng = random.Random(5)
     pairs = []
     for _ in range(400):
-        a = "".join(rng.choices("abé", k=rng.randrange(7, 30)))
+        a = "".join(rng.choices("abé", k=rng.randrange(1, 30)))
         pairs.append((a, edited(rng, a, rng.randrange(6))))
     df = spark.createDataFrame(pairs, "a string, b string")
-    for k in (0, 1, 2, 4):
-        got = df.where(F.length("a") > k).where(F.length("b") > k).select("a", "b", lines.within(F.col("a"), F.col("b"), k).alias("near")).collect()
+    for k in (0, 1, 2, 3, 4):
+        got = df.select("a", "b", lines.within(F.col("a"), F.col("b"), k).alias("near")).collect()
         for r in got:
             assert r["near"] == (distance(r["a"], r["b"]) <= k), (r, k)
 
 
-def brute(rows, threshold, shortest):
+def brute(rows, threshold, shortest, exact_from=None):
     """rows: (id, text); what stays of each text, rows being ordered by id."""
+    exact_from = shortest if exact_from is None else exact_from
     seen, out = {}, []
     order = []
     for i, (_, text) in enumerate(rows):
         for p, line in enumerate((text or "").split("\n")):
-            if len(line) >= shortest and line not in seen:
+            if len(line) >= exact_from and line not in seen:
                 seen[line] = (i, p)
                 order.append(line)
-    late = {b for n, b in enumerate(order) if any(abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold for a in order[:n])}
+    late = {b for n, b in enumerate(order) if len(b) >= shortest and any(len(a) >= shortest and abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold for a in order[:n])}
     for i, (_, text) in enumerate(rows):
         if text is None:
             out.append(None)
             continue
         parts = text.split("\n")
-        out.append("\n".join(x for p, x in enumerate(parts) if len(x) < shortest or (seen[x] == (i, p) and x not in late)))
+        out.append("\n".join(x for p, x in enumerate(parts) if len(x) < exact_from or (seen[x] == (i, p) and x not in late)))
     return out
 
 
@@ -60,8 +65,8 @@ def test_what_stays_is_brute_force(spark):
     for i in range(60):
         parts = [edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3])) for _ in range(rng.randrange(1, 6))]
         rows.append((i, "\n".join(parts + [""] * rng.randrange(2))))
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "x" * 9000), (104, "x" * 9001), (105, "x" * 9003), (106, base[0])]
-    for threshold in (0, 1, 2):
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "x" * 9000), (104, "x" * 9001), (105, "x" * 9005), (106, base[0])]
+    for threshold in (0, 1, 2, 3):
         df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Key", F.lit("k")).withColumn("n_lines", F.lit("clash"))
         got = {r["doc_id"]: r for r in lines.dedup(df, threshold=threshold, shortest=8).collect()}
         assert len(got) == len(rows)
@@ -93,5 +98,28 @@ def test_the_query_leaves_no_equal_lines(spark):
     sf = "/root/testdata/sf0.001"
     texts = [t for (t,) in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if t]
     parts = [p for t in texts for p in t.split("\n")]
-    found = queries.op10_lines_all(spark, sf).agg(F.sum(F.col("n_lines") - F.col("n_removed"))).head()[0]
+    found = queries.op10_lines(spark, sf).agg(F.sum(F.col("n_lines") - F.col("n_removed"))).head()[0]
     assert found <= len({p for p in parts if p}) + parts.count("")
+
+
+def test_a_family_of_lines_with_changes_all_over(spark):
+    """Many lines that share their segments, most of them beyond the threshold of one another and of the first one."""
+    rng = random.Random(3)
+    base = "".join(rng.choices("abcdefgh ", k=60))
+    rows = [(0, base)]
+    for i in range(1, 130):
+        at, word = rng.randrange(len(base)), "".join(rng.choices("xyz", k=rng.randrange(1, 7)))
+        line = rng.choice([base[:at] + word + base[at:], base[:at] + base[at + len(word) :], base[:at] + word + base[at + len(word) :]])
+        rows.append((i, edited(rng, line, rng.choice([0, 0, 1, 2, 3]))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold in (1, 2):
+        got = {r["doc_id"]: r["text"] for r in lines.dedup(df, threshold=threshold).collect()}
+        assert [got[i] for i, _ in rows] == brute(rows, threshold, 20)
+
+
+def test_the_query_is_brute_force(spark):
+    """On whole texts of a few documents, short lines included."""
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())[:25]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), threshold=2, shortest=20, exact_from=1).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows, 2, 20, 1)

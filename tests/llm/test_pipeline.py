@@ -17,7 +17,7 @@ def test_run_is_the_stages_by_brute_force(spark):
     model = langid.fit(table)
     rows = sorted((r["doc_id"], r["text"]) for r in table.collect())
     rows = [(i, t) for i, t in rows if (p := model.predict(t))[0] != "und" and p[1] >= 0.5]
-    rows = [(i, t) for (i, before), t in zip(rows, brute_lines(rows, 1, 20)) if t == before or t.strip(" ")]
+    rows = [(i, t) for (i, before), t in zip(rows, brute_lines(rows, 2, 20, 1)) if t == before or t.strip()]
     _, of = brute_groups(rows)
     rows = [(i, t) for i, t in rows if of[i] == i]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]

@@ -35,13 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, codec: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: it survives lost executors and cuts the lineage.
 
     The folder's owner removes old tables; a returned frame may read them lazily.
     """
     path = f"{shared_dir(df.sparkSession)}/voxelith-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

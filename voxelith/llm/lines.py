@@ -4,14 +4,20 @@ Lines are what newlines separate; those of at least `exact_from` code points (`s
 stay. A line stays if it is the first occurrence of its text, by (id, hash of the document's text, position), and no line with an earlier
 first occurrence is within `threshold` edits of it; lines of less than `shortest` code points are compared with equal ones only.
 
-Two lines within the threshold share a segment: a line of length l is cut into threshold + 1 segments, and some segment stands
-unchanged in the other line, shifted by no more than the edits before and after it allow. Segments are index keys together with l
-and their number; the other line probes with its substrings at the allowed places, for each length from its own down to
-its own less the threshold. In each key the earliest line is compared with the others first; the lines which that decides need no
-more comparisons of their own, and only the undecided ones are compared with all earlier ones of their keys. The check is a
-bit-parallel edit distance in a band of 2 * threshold + 1 diagonals.
-
-Null texts stay null, empty texts empty. Rows equal in id and text are judged alike. Null ids come first.
+Two lines within the threshold share a segment: of threshold + 1 disjoint segments of the shorter one, some segment (say number i) stands
+unchanged in the other line, with at most i edits before it and threshold - i after it, so it is shifted by no more than these,
+counted from the nearer end. Segments are index keys together with their number and a rounded length (an eighth of a power of two), from which
+their places follow; a line is looked up with its substrings at the allowed places, for its own rounded length and those that its length less
+the threshold may have. Only one row of each different line takes part in all this.
+
+In each key every line is compared with the key's earliest line. Lines that this decides need no comparison of their own. The others
+are compared with earlier lines of the key, but not with all of them: lines are placed by where they first and last differ from the key's
+earliest line (`placed_by`), two lines within the threshold of each other lie in overlapping spans on both sides, and only
+lines whose spans meet are paired, by an equi-join on the span's blocks. The check of a pair is a bit-parallel edit distance
+in a band of 2 * threshold + 1 diagonals.
+
+Null texts stay null, empty texts empty, empty tables empty. Very long lines are taken whole. Rows equal in id and text are judged alike.
+Null ids come first. Ties (equal lines) go to the first occurrence. Other columns stay, whatever they are called, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,45 +28,58 @@ from pyspark.sql import functions as F
 from .common import dropped, free_name, saved
 
 LINE = "\n"
+#: Code points of a span's block, for each edit of the threshold.
+BLOCK = 8
 
 
-def segment(length: Column, number: int, threshold: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment (number from 0): as even as can be, the longer ones last."""
-    parts = threshold + 1
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    first_longer = parts - longer
-    return base * number + F.greatest(F.lit(number) - first_longer, F.lit(0)), base + F.when(F.lit(number) >= first_longer, 1).otherwise(0)
+def rounded(n: Column) -> Column:
+    """n rounded down to an eighth of its power of two."""
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(n)) - 4, F.lit(0)))
+    return n - n % step
 
 
 def places(n: Column, threshold: int) -> Column:
-    """Where a line of n code points is looked at: array of (length, number, at, size, own).
+    """Where a line of n code points is looked at: array of (base, number, at, size, own).
 
-    own: its own segments, which are index keys. The others are probes for lines of the same or a lesser length: a segment of theirs may
-    be shifted by the edits that can lie before and after it.
+    base: the rounded length; own: the line's own segments, which are index keys. The others are probes for lines of the same or a lesser length.
     """
     out = []
     for shorter in range(threshold + 1):
-        length = n - shorter
+        base = rounded(F.greatest(n - shorter, F.lit(1)))
+        # another length only where it rounds to another base than the one before
+        new = F.lit(True) if not shorter else (n > shorter) & (base != rounded(F.greatest(n - shorter + 1, F.lit(1))))
+        size = F.floor(base / (threshold + 1)).cast("int")
         for i in range(threshold + 1):
-            at, size = segment(length, i, threshold)
             left, right = i, threshold - i
-            for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                out.append(F.struct(length.alias("length"), F.lit(i).alias("number"), (at + shift).alias("at"), size.alias("size"), F.lit(not shorter and not shift).alias("own")))
-    return F.array(*out)
+            for shift in range(-min(left, right), min(left, right) + 1):
+                at = (size * i if left <= right else n - size * (right + 1)) + shift
+                place = F.struct(base.alias("base"), F.lit(i).alias("number"), at.alias("at"), size.alias("size"), F.lit(not shorter and not shift).alias("own"))
+                out.append(F.when(new & (size > 0) & (at >= 0) & (at + size <= n), place))
+    return F.filter(F.array(*out), lambda p: p.isNotNull())
 
 
 def keys(lines: DataFrame, threshold: int) -> DataFrame:
     """(key, own, h1) of each place of each line (h1, line)."""
-    sized = lines.select("h1", "line", F.length("line").alias("n__"))
-    each = sized.select("h1", "line", "n__", F.explode(places(F.col("n__"), threshold)).alias("p"))
-    each = each.where("p.at >= 0 and p.at + p.size <= n__ and p.length > 0")
-    return each.select(F.xxhash64("p.length", "p.number", F.substring("line", F.col("p.at") + 1, F.col("p.size"))).alias("key"), F.col("p.own").alias("own"), "h1")
+    each = lines.select("h1", "line", F.explode(places(F.length("line"), threshold)).alias("p"))
+    return each.select(F.xxhash64("p.base", "p.number", F.substring("line", F.col("p.at") + 1, F.col("p.size"))).alias("key"), F.col("p.own").alias("own"), "h1")
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def common_start(x: Column, y: Column) -> Column:
+    """How many code points two texts have in common at their beginning."""
+    least = F.least(F.length(x), F.length(y))
+    powers = F.transform(F.sequence(F.length(F.bin(least)), F.lit(0), F.lit(-1)), lambda e: F.call_function("shiftleft", F.lit(1), e))
+    return F.aggregate(powers, F.lit(0), lambda at, p2: F.when((at + p2 <= least) & (F.substring(x, at + 1, p2) == F.substring(y, at + 1, p2)), at + p2).otherwise(at))
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether the edit distance of two texts is at most threshold (30 at most), which their lengths must exceed.
+    """Whether the edit distance of two texts is at most threshold (30 at most).
 
-    What both begin and end with is cut off first. Then one column of the band after another; bit r of column j stands for row
+    What both begin and end with is cut off first. Texts that the threshold could delete whole get an equal end, which changes no distance. Then one column of the band after another; bit r of column j stands for row
     j - threshold + r. The distance is followed down the lowest diagonal, where it never falls, then along the last row; once it
     is too large to come down again, the columns that are left are passed over.
     """
@@ -70,10 +89,6 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     long = lambda x: F.lit(x).cast("long")
     mask = long((1 << width) - 1)
 
-    def bound(value: Column, use) -> Column:
-        """use(value), with the value worked out once."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def matches(t: Column, j: Column) -> Column:
         def of(own: Column) -> Column:
             # get() gives null for rows outside the text, which match nothing
@@ -108,16 +123,15 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         """p: the two texts without common ends."""
         x, y = p["a"], p["b"]
         full = F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b"), F.length(x).alias("m"), F.length(y).alias("n"))
-        # a text that the threshold could delete whole has no band
-        return F.when(F.least(F.length(x), F.length(y)) <= k, F.levenshtein(x, y, k) >= 0).otherwise(bound(full, walked) <= k)
+        # what the threshold could delete whole is longer than any pair within it allows, or gets an equal end that fills the band
+        filler = "\u0001" * (k + 1)
+        padded = F.struct(F.split(F.concat(x, F.lit(filler)), "").alias("a"), F.split(F.concat(y, F.lit(filler)), "").alias("b"), (F.length(x) + k + 1).alias("m"), (F.length(y) + k + 1).alias("n"))
+        return bound(F.when(F.least(F.length(x), F.length(y)) <= k, padded).otherwise(full), walked) <= k
 
     def without_prefix(p: Column) -> Column:
         """Both texts, reversed, without their longest common beginning."""
         x, y = p["a"], p["b"]
-        least = F.least(F.length(x), F.length(y))
-        powers = F.transform(F.sequence(F.lit(24), F.lit(0), F.lit(-1)), lambda e: F.call_function("shiftleft", F.lit(1), e))
-        same = F.aggregate(powers, F.lit(0), lambda at, p2: F.when((at + p2 <= least) & (F.substring(x, at + 1, p2) == F.substring(y, at + 1, p2)), at + p2).otherwise(at))
-        return bound(same, lambda n: F.struct(F.reverse(F.substring(x, n + 1, F.length(x))).alias("a"), F.reverse(F.substring(y, n + 1, F.length(y))).alias("b")))
+        return bound(common_start(x, y), lambda n: F.struct(F.reverse(F.substring(x, n + 1, F.length(x))).alias("a"), F.reverse(F.substring(y, n + 1, F.length(y))).alias("b")))
 
     both = F.struct(a.alias("a"), b.alias("b"))
     near = bound(both, lambda p: bound(without_prefix(p), lambda q: bound(without_prefix(q), banded)))
@@ -131,38 +145,84 @@ def _lines(df: DataFrame, id_col: str, text_col: str, exact_from: int) -> DataFr
     return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))})
 
 
-def _late(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(h1, h2) of the later line of each pair (a1, a2, b1, b2) within the threshold."""
+def placed_by(x: Column, head: Column, threshold: int) -> Column:
+    """Where x differs from another text: struct (from_start, start_to, from_end, end_to).
+
+    from_start code points are common to both beginnings. Where the next BLOCK * threshold ones are more than 2 * threshold edits apart, no text
+    within the threshold of x can have more than start_to code points in common with the beginning of head: of x against such a beginning
+    there would be at most `threshold` edits, and twice as many at most for pieces of equal length. (Nor can it where head ends before.) Where they
+    are nearer, start_to is unbounded. The same holds from the ends.
+    """
+    window = BLOCK * max(threshold, 1)
+
+    def side(a: Column, b: Column) -> Column:
+        def span(n: Column) -> Column:
+            p, q = F.substring(a, n + 1, F.lit(window)), F.substring(b, n + 1, F.lit(window))
+            apart = (F.length(b) < n + window) | ~within(p, q, 2 * threshold)
+            return F.struct(n.alias("at"), F.when(apart, n + window - 1).otherwise(F.lit((1 << 31) - 1)).alias("to"))
+
+        return bound(common_start(a, b), span)
+
+    return bound(
+        F.struct(side(x, head).alias("s"), side(F.reverse(x), F.reverse(head)).alias("e")),
+        lambda t: F.struct(t["s"]["at"].alias("from_start"), t["s"]["to"].alias("start_to"), t["e"]["at"].alias("from_end"), t["e"]["to"].alias("end_to")),
+    )
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a1, a2, b1, b2) with line_a and line_b."""
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("line").alias(f"line_{side}")), [f"{side}1", f"{side}2"])
-    return saved(pairs.where(within(F.col("line_a"), F.col("line_b"), threshold)).select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct())
+    return pairs
 
 
 def first_lines(df: DataFrame, id_col: str, text_col: str, threshold: int, shortest: int, exact_from: int) -> DataFrame:
     """(id, text_key, pos) of the lines that take part and stay."""
     lines = _lines(df, id_col, text_col, exact_from)
-    firsts = saved(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_key", "pos")).alias("first")))
-    keyed = saved(keys(lines.where(F.length("line") >= shortest), threshold))
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).where("low < high and own").select("key")
-    members = saved(keyed.join(shared, "key").groupBy("key", "h1").agg(F.max("own").alias("own")))
-    wanted = firsts.join(members.select("h1").distinct(), "h1").select("h1", "h2", "first.id", "first.text_key", "first.pos")
-    at = lines.select(F.col("h1").alias("l1"), F.col("text_key").alias("lk"), F.col("pos").alias("lp"), F.col("id").alias("li"), "line")
-    found = at.join(wanted, (F.col("l1") == F.col("h1")) & (F.col("lk") == F.col("text_key")) & (F.col("lp") == F.col("pos")) & F.col("li").eqNullSafe(F.col("id")))
-    texts = saved(found.groupBy("h1", "h2").agg(F.first("line").alias("line")))
-
-    placed = saved(members.join(firsts, "h1").select("key", "own", "first", "h1", "h2"))
-    heads = placed.groupBy("key").agg(F.min(F.struct("first", F.col("h1").alias("a1"), F.col("h2").alias("a2"))).alias("head")).select("key", "head.a1", "head.a2")
+    # one row of each different line, with its text: everything else starts from here
+    one = F.min(F.struct("id", "text_key", "pos", "line")).alias("first")
+    distinct = saved(lines.groupBy("h1", "h2").agg(one).select("h1", "h2", F.struct("first.id", "first.text_key", "first.pos").alias("first"), "first.line"), "zstd")
+    firsts = distinct.select("h1", "h2", "first")
+    if not threshold:
+        return firsts.select("first.id", "first.text_key", "first.pos")
+    keyed = keys(distinct.where(F.length("line") >= shortest), threshold)
+    # own rows count 2**32, so that one short sum tells both how many rows and whether a segment is among them
+    weight = F.when(F.col("own"), F.lit((1 << 32) + 1)).otherwise(F.lit(1)).cast("long")
+    shared = keyed.groupBy("key").agg(F.sum(weight).alias("rows")).where(((F.col("rows") % (1 << 32)) > 1) & (F.col("rows") >= 1 << 32)).select("key")
+    # written between the join and the aggregate, so that a hot key's part of the join can be split
+    matched = saved(keyed.join(shared, "key"))
+    texts = saved(distinct.join(matched.select("h1").distinct(), "h1", "left_semi").select("h1", "h2", "first", "line"))
+
+    members = matched.groupBy("key", "h1").agg(F.max("own").alias("own"))
+    placed = saved(members.join(texts.select("h1", "h2", "first", F.length("line").alias("n")), "h1").select("key", "own", "first", "h1", "h2", "n"))
+    head = F.min(F.struct("first", F.col("h1").alias("a1"), F.col("h2").alias("a2"))).alias("head")
+    heads = saved(placed.groupBy("key").agg(head, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "head.a1", "head.a2"))
     stars = placed.join(heads, "key").where("h1 <> a1 or h2 <> a2").select("a1", "a2", F.col("h1").alias("b1"), F.col("h2").alias("b2")).distinct()
-    late = _late(stars, texts, threshold)
-    undecided = placed.join(late, ["h1", "h2"], "left_anti").select("key", F.col("own").alias("own_b"), F.col("first").alias("first_b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    others = placed.select("key", F.col("own").alias("own_a"), F.col("first").alias("first_a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    near = F.col("first_a") < F.col("first_b")
-    rest = undecided.join(others, "key").where(near & (F.col("own_a") | F.col("own_b"))).select("a1", "a2", "b1", "b2").distinct().join(stars, ["a1", "a2", "b1", "b2"], "left_anti")
-    late = late.unionByName(_late(rest, texts, threshold))
-    return firsts.join(late, ["h1", "h2"], "left_anti").select("first.id", "first.text_key", "first.pos")
-
-
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, shortest: int = 20, lines_col: str = "n_lines", removed_col: str = "n_removed", exact_from: int | None = None) -> DataFrame:
+    spans = placed_by(F.col("line_b"), F.col("line_a"), threshold)
+    compared = _with_texts(stars, texts).select("a1", "a2", F.col("b1").alias("h1"), F.col("b2").alias("h2"), within(F.col("line_a"), F.col("line_b"), threshold).alias("near"), spans.alias("span"))
+    compared = saved(compared)
+    late = compared.where("near").select("h1", "h2").distinct()
+
+    # only keys with lines that no comparison with their earliest one decided
+    around = placed.join(heads, "key").join(compared, ["a1", "a2", "h1", "h2"]).join(late.withColumn("late", F.lit(True)), ["h1", "h2"], "left")
+    around = saved(around.select("key", "own", "first", "h1", "h2", "n", F.coalesce("late", F.lit(False)).alias("late"), "span.*"))
+    open_keys = around.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("late").alias("late")).where("rows > 1 and not late").select("key")
+    block = BLOCK * max(threshold, 1)
+    blocks = F.sequence(F.floor(F.col("from_start") / block), F.floor(F.least(F.col("start_to"), F.col("n") + threshold) / block))
+    around = saved(around.join(open_keys, "key").withColumn("block", F.explode(blocks)))
+    names = ["own", "first", "h1", "h2", "n", "from_start", "start_to", "from_end", "end_to"]
+    a = around.select("key", "block", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = around.where("not late").select("key", "block", *[F.col(c).alias(f"{c}_b") for c in names])
+    meet = (F.col("from_start_a") <= F.col("start_to_b")) & (F.col("from_start_b") <= F.col("start_to_a")) & (F.col("from_end_a") <= F.col("end_to_b")) & (F.col("from_end_b") <= F.col("end_to_a"))
+    able = (F.col("first_a") < F.col("first_b")) & (F.col("own_a") | F.col("own_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= threshold)
+    # two spans meet in several blocks; the first of them counts
+    once = F.col("block") == F.floor(F.greatest("from_start_a", "from_start_b") / block)
+    rest = b.join(a, ["key", "block"]).where(able & meet & once).select(F.col("h1_a").alias("a1"), F.col("h2_a").alias("a2"), F.col("h1_b").alias("b1"), F.col("h2_b").alias("b2")).distinct()
+    more = saved(_with_texts(rest, texts).where(within(F.col("line_a"), F.col("line_b"), threshold)).select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct())
+    return firsts.join(late.unionByName(more), ["h1", "h2"], "left_anti").select("first.id", "first.text_key", "first.pos")
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, shortest: int = 20, lines_col: str = "n_lines", removed_col: str = "n_removed", exact_from: int | None = None) -> DataFrame:
     """df with the text that its lines leave, the number of lines before and of those removed; columns of these names are replaced."""
     if shortest <= threshold:
         raise ValueError("lines have to be longer than the threshold")

@@ -29,16 +29,22 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.doc = d.doc_id
 """
 
+#: levenshtein() counts bytes: letters of more than one byte (30 at most, as in `documents`) go to control characters first.
 LINES = r"""
 WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND text <> ''),
-firsts AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line),
-halves AS (SELECT *, unnest([n - 1, n]) AS m FROM firsts),
-near AS (
-  SELECT a.line AS a, b.line AS b FROM halves a JOIN halves b ON a.m = b.m AND left(a.line, a.m // 2) = left(b.line, b.m // 2) AND a.first < b.first AND least(a.n, b.n) = a.m
-  UNION
-  SELECT a.line, b.line FROM halves a JOIN halves b ON a.m = b.m AND right(a.line, a.m - a.m // 2) = right(b.line, b.m - b.m // 2) AND a.first < b.first AND least(a.n, b.n) = a.m),
-late AS (SELECT DISTINCT b AS line FROM near WHERE levenshtein(a, b) <= 1),
-marked AS (SELECT l.*, length(l.line) < 20 OR (firsts.first = {'d': l.doc_id, 'p': l.pos} AND late.line IS NULL) AS stays
+letters AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS wide FROM (SELECT DISTINCT unnest(string_split(line, '')) AS c FROM l) WHERE strlen(c) > 1),
+codes AS (SELECT string_agg(chr(i::INT), '' ORDER BY i) AS narrow FROM range(1, 32) r(i) WHERE i <> 10),
+firsts AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first, length(line) AS n FROM l WHERE line <> '' GROUP BY line),
+long AS (SELECT line, first, n, translate(line, wide, narrow) AS bytes FROM firsts, letters, codes WHERE n >= 20),
+thirds AS (SELECT line, first, n, bytes, n AS m, unnest([0, 1, 2]) AS third, unnest([left(line, n // 3), substr(line, n // 3 + 1, n // 3), right(line, n // 3)]) AS part FROM long),
+lengths AS (SELECT *, unnest([n, n - 1, n - 2]) AS m FROM long),
+looked AS (
+  SELECT *, 0 AS third, left(line, m // 3) AS part FROM lengths
+  UNION ALL SELECT *, 1, unnest(list_transform([-2, -1, 0, 1, 2], lambda t: substr(line, m // 3 + 1 + t, m // 3))) FROM lengths
+  UNION ALL SELECT *, 2, right(line, m // 3) FROM lengths),
+near AS (SELECT DISTINCT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb FROM thirds a JOIN looked b USING (m, third, part) WHERE a.line <> b.line AND levenshtein(a.bytes, b.bytes) <= 2),
+late AS (SELECT b AS line FROM near WHERE fa < fb UNION SELECT a FROM near WHERE fb < fa),
+marked AS (SELECT l.*, l.line = '' OR (firsts.first = {'d': l.doc_id, 'p': l.pos} AND late.line IS NULL) AS stays
   FROM l LEFT JOIN firsts ON firsts.line = l.line LEFT JOIN late ON late.line = l.line),
 agg AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS kept FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256

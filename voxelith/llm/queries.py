@@ -101,14 +101,8 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What line deduplication leaves of every text."""
-    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=1, shortest=20)
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-
-
-def op10_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op10_lines, but every line that is not empty takes part; the short ones are compared with equal ones only."""
-    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=1, shortest=20, exact_from=1)
+    """What line deduplication leaves of every text: every line that is not empty takes part, those under 20 code points against equal ones only."""
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=2, shortest=20, exact_from=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -125,7 +119,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_shards": op8_shards,
         "op9_urls": op9_urls,
         "op10_lines": op10_lines,
-        "op10_lines_all": op10_lines_all,
     }
 
 
