@@ -38,30 +38,39 @@ def rounded(n: Column) -> Column:
     return n - n % step
 
 
-def places(n: Column, threshold: int) -> Column:
-    """Where a line of n code points is looked at: array of (base, number, at, size, own).
+def looks(threshold: int) -> list[tuple[int, int, int, int, bool]]:
+    """Where lines are looked at: (shorter, number, segments, shift, from_end).
 
-    base: the rounded length; own: the line's own segments, which are index keys. The others are probes for lines of the same or a lesser length.
+    For a rounded length that a line `shorter` code points shorter has, at so many segments and a shift from the start, or before the end. Those with neither
+    are the line's own segments, which are index keys; the others are probes for lines of the same or a lesser length.
     """
     out = []
     for shorter in range(threshold + 1):
-        base = rounded(F.greatest(n - shorter, F.lit(1)))
-        # another length only where it rounds to another base than the one before
-        new = F.lit(True) if not shorter else (n > shorter) & (base != rounded(F.greatest(n - shorter + 1, F.lit(1))))
-        size = F.floor(base / (threshold + 1)).cast("int")
         for i in range(threshold + 1):
             left, right = i, threshold - i
             for shift in range(-min(left, right), min(left, right) + 1):
-                at = (size * i if left <= right else n - size * (right + 1)) + shift
-                place = F.struct(base.alias("base"), F.lit(i).alias("number"), at.alias("at"), size.alias("size"), F.lit(not shorter and not shift).alias("own"))
-                out.append(F.when(new & (size > 0) & (at >= 0) & (at + size <= n), place))
-    return F.filter(F.array(*out), lambda p: p.isNotNull())
+                out.append((shorter, i, i if left <= right else right + 1, shift, left > right))
+    return out
 
 
 def keys(lines: DataFrame, threshold: int) -> DataFrame:
-    """(key, own, h1) of each place of each line (h1, line)."""
-    each = lines.select("h1", "line", F.explode(places(F.length("line"), threshold)).alias("p"))
-    return each.select(F.xxhash64("p.base", "p.number", F.substring("line", F.col("p.at") + 1, F.col("p.size"))).alias("key"), F.col("p.own").alias("own"), "h1")
+    """(key, own, h1) of each place at which each line (h1, line) is looked at."""
+    n = F.length("line")
+    bases = [rounded(F.greatest(n - j, F.lit(1))) for j in range(threshold + 1)]
+    # a lesser length counts only where it rounds to another base than the one before
+    used = [bases[0]] + [F.when((n > j) & (bases[j] != bases[j - 1]), bases[j]).otherwise(F.lit(0)) for j in range(1, threshold + 1)]
+    sized = lines.select("h1", "line", n.alias("n"), *[u.alias(f"base{j}") for j, u in enumerate(used)])
+    structs = F.array(*[F.struct(*[F.lit(v).alias(name) for v, name in zip(x, ("shorter", "number", "segments", "shift", "end"))]) for x in looks(threshold)])
+    each = sized.withColumn("look", F.explode(structs))
+    base = F.col("base0")
+    for j in range(1, threshold + 1):
+        base = F.when(F.col("look.shorter") == j, F.col(f"base{j}")).otherwise(base)
+    size = F.floor(base / (threshold + 1)).cast("int")
+    each = each.withColumns({"base": base, "size": size}).where("size > 0")
+    at = F.when(F.col("look.end"), F.col("n") - F.col("look.segments") * F.col("size")).otherwise(F.col("look.segments") * F.col("size")) + F.col("look.shift")
+    each = each.withColumn("at", at).where("at >= 0 and at + size <= n")
+    own = (F.col("look.shorter") == 0) & (F.col("look.shift") == 0)
+    return each.select(F.xxhash64("base", "look.number", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), own.alias("own"), "h1")
 
 
 def bound(value: Column, use) -> Column:
