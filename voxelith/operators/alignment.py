@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.linalg import rigid, solve_psd, twist_to_matrix
+from ..functions.linalg import matrix_to_twist, rigid, solve_psd, twist_to_matrix
 from ..plans.spatial import XYZ, nearest, radius_join
 from . import images
 from .points import COLOR, NORMAL, estimate_normals, linear, transform
@@ -192,17 +192,18 @@ def preprocess_depth(df: DataFrame, low: float = 0.0, high: float = 4.0) -> Data
 def pixel_pairs(source: DataFrame, target: DataFrame, k: np.ndarray, m: np.ndarray, width: int, height: int, max_difference: float = 0.07) -> DataFrame:
     """Source pixels with the target pixel that they fall on once moved by m: (u, v, tu, tv, x, y, z, si, sd, ti, td).
 
-    Depths that differ too much don't pair; of source pixels on one target pixel the nearest counts.
+    Depths that differ too much don't pair; of source pixels on one target pixel the nearest counts. Images of many pairs are told apart by img.
     """
+    key = ["img"] if "img" in source.columns else []
     s = source.where("depth > 0").withColumns({"px": (F.col("u") - float(k[0, 2])) * F.col("depth") / float(k[0, 0]), "py": (F.col("v") - float(k[1, 2])) * F.col("depth") / float(k[1, 1])})
     x, y, z = linear(m[:3, :3], ["px", "py", "depth"], m[:3, 3])
     s = s.withColumns({"x": x, "y": y, "z": z}).where("z > 0")
     s = s.withColumns({"tu": F.floor(F.col("x") * float(k[0, 0]) / F.col("z") + float(k[0, 2]) + 0.5).cast("int"), "tv": F.floor(F.col("y") * float(k[1, 1]) / F.col("z") + float(k[1, 2]) + 0.5).cast("int")})
     s = s.where(F.col("tu").between(0, width - 1) & F.col("tv").between(0, height - 1))
-    t = target.where("depth > 0").select(F.col("u").alias("tu"), F.col("v").alias("tv"), F.col("intensity").alias("ti"), F.col("depth").alias("td"))
-    both = s.join(t, ["tu", "tv"]).where(F.abs(F.col("td") - F.col("z")) <= max_difference)
-    best = both.groupBy("tu", "tv").agg(F.min(F.struct("z", "u", "v", "x", "y", F.col("intensity").alias("si"), F.col("depth").alias("sd"), "ti", "td")).alias("b"))
-    return best.select("tu", "tv", "b.*")
+    t = target.where("depth > 0").select(*key, F.col("u").alias("tu"), F.col("v").alias("tv"), F.col("intensity").alias("ti"), F.col("depth").alias("td"))
+    both = s.join(t, [*key, "tu", "tv"]).where(F.abs(F.col("td") - F.col("z")) <= max_difference)
+    best = both.groupBy(*key, "tu", "tv").agg(F.min(F.struct("z", "u", "v", "x", "y", F.col("intensity").alias("si"), F.col("depth").alias("sd"), "ti", "td")).alias("b"))
+    return best.select(*key, "tu", "tv", "b.*")
 
 
 def _slopes(df: DataFrame, column: str, width: int, height: int) -> DataFrame:
@@ -211,45 +212,111 @@ def _slopes(df: DataFrame, column: str, width: int, height: int) -> DataFrame:
     return dx.join(images.sobel(one, width, height, "y").select("v", "u", (F.col("c0") / 8).alias(f"{column}_dy")), ["v", "u"])
 
 
-def rgbd_odometry(source: DataFrame, target: DataFrame, k: np.ndarray, width: int, height: int, init: np.ndarray | None = None, iterations: Sequence[int] = (20, 10, 5), hybrid: bool = True, max_difference: float = 0.07, weight: float = 0.968) -> tuple[bool, np.ndarray, np.ndarray]:
-    """(success, motion, information) from one image (v, u, intensity, depth) to another; coarse to fine, one job for each step.
+def normalize_intensity(source: DataFrame, target: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both images with intensities scaled so that their means over the paired pixels (si, ti) are one half."""
+    r = pairs.agg(F.avg("si").alias("s"), F.avg("ti").alias("t")).first()
+    scaled = lambda df, mean: df.withColumn("intensity", F.col("intensity") * (0.5 / mean)) if mean else df
+    return scaled(source, r["s"]), scaled(target, r["t"])
 
-    hybrid weighs depth against intensity; otherwise intensity alone counts.
-    """
-    levels = [(source, target, np.asarray(k, float), width, height)]
-    for _ in iterations[1:]:
-        s, t, kk, w, h = levels[-1]
-        half = lambda d: d.where((F.col("u") < w // 2 * 2) & (F.col("v") < h // 2 * 2)).groupBy(F.expr("v div 2").cast("int").alias("v"), F.expr("u div 2").cast("int").alias("u")).agg(F.avg("intensity").alias("intensity"), F.avg(F.when(F.col("depth") > 0, F.col("depth"))).alias("depth"))  # noqa: E731, B023
+
+def weighted_jtj(pairs: DataFrame, rows: list[tuple[list, object]], sigma2: float, nu: float = 5.0) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Normal equations with weights of a t-distribution of nu degrees, in two aggregates: the scale from all residuals, then the weighted sums; with the weighted
+    residuals' sum and the scale."""
+    r2 = sum((r * r for _, r in rows[1:]), rows[0][1] * rows[0][1])
+    scale = pairs.agg(F.sum(r2 * (nu + 1) / (nu + r2 / sigma2))).first()[0] or 0.0
+    if not scale:
+        return np.zeros((6, 6)), np.zeros(6), 0.0, 0.0
+    w = F.sqrt((nu + 1) / (nu + r2 / scale))
+    return *jtj(pairs, [([w * x for x in j], w * r) for j, r in rows]), scale
+
+
+def _halved(d: DataFrame, w: int, h: int) -> DataFrame:
+    own = d.where((F.col("u") < w // 2 * 2) & (F.col("v") < h // 2 * 2))
+    return own.groupBy(F.expr("v div 2").cast("int").alias("v"), F.expr("u div 2").cast("int").alias("u")).agg(F.avg("intensity").alias("intensity"), F.avg(F.when(F.col("depth") > 0, F.col("depth"))).alias("depth"))
+
+
+def odometry_levels(source: DataFrame, target: DataFrame, k: np.ndarray, width: int, height: int, levels: int) -> list[tuple]:
+    """(source, target, matrix, width, height) of each level, the finest first."""
+    out = [(source, target, np.asarray(k, float), width, height)]
+    for _ in range(levels - 1):
+        s, t, kk, w, h = out[-1]
         small = kk / 2
         small[2, 2] = 1
         small[:2, 2] = (kk[:2, 2] + 0.5) / 2 - 0.5
-        levels.append((half(s), half(t), small, w // 2, h // 2))
-    m = np.eye(4) if init is None else np.array(init, float)
-    for (s, t, kk, w, h), steps in zip(levels[::-1], iterations):
-        s = s.persist()
-        slopes = t.join(_slopes(t, "intensity", w, h), ["v", "u"]).join(_slopes(t, "depth", w, h), ["v", "u"]).select(F.col("u").alias("tu"), F.col("v").alias("tv"), "intensity_dx", "intensity_dy", "depth_dx", "depth_dy").persist()
-        t = t.persist()
-        for _ in range(steps):
-            pairs = pixel_pairs(s, t, kk, m, w, h, max_difference).join(slopes, ["tu", "tv"])
-            f, g = float(kk[0, 0]), float(kk[1, 1])
-            x, y, z = F.col("x"), F.col("y"), F.col("z")
-
-            def row(name: str, residual, extra: float, share: float, f=f, g=g, x=x, y=y, z=z):
-                a, b = F.col(f"{name}_dx") * f / z, F.col(f"{name}_dy") * g / z
-                c = -(a * x + b * y) / z
-                j = [-z * b + y * c - extra * y, z * a - x * c + extra * x, x * b - y * a, a, b, c - extra]
-                return [F.lit(share) * v for v in j], F.lit(share) * residual
-
-            rows = [row("intensity", F.col("ti") - F.col("si"), 0.0, float(np.sqrt(1 - weight)) if hybrid else 1.0)]
-            if hybrid:
-                rows.append(row("depth", F.col("td") - z, 1.0, float(np.sqrt(weight))))
-            a, b, _ = jtj(pairs, rows)
-            step = solve_psd(a, -b)
-            if step is None:
-                return False, np.eye(4), np.eye(6)
-            m = twist_to_matrix(step) @ m
+        out.append((_halved(s, w, h), _halved(t, w, h), small, w // 2, h // 2))
+    return out
+
+
+def odometry_rows(k: np.ndarray, hybrid: bool, weight: float) -> list[tuple[list, object]]:
+    """Jacobians and residuals of a pixel pair by intensity and, if hybrid, by depth."""
+    f, g = float(k[0, 0]), float(k[1, 1])
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+
+    def row(name: str, residual, extra: float, share: float):
+        a, b = F.col(f"{name}_dx") * f / z, F.col(f"{name}_dy") * g / z
+        c = -(a * x + b * y) / z
+        j = [-z * b + y * c - extra * y, z * a - x * c + extra * x, x * b - y * a, a, b, c - extra]
+        return [F.lit(share) * v for v in j], F.lit(share) * residual
+
+    rows = [row("intensity", F.col("ti") - F.col("si"), 0.0, float(np.sqrt(1 - weight)) if hybrid else 1.0)]
+    if hybrid:
+        rows.append(row("depth", F.col("td") - z, 1.0, float(np.sqrt(weight))))
+    return rows
+
+
+def _with_slopes(t: DataFrame, w: int, h: int) -> DataFrame:
+    slopes = t.join(_slopes(t, "intensity", w, h), ["v", "u"]).join(_slopes(t, "depth", w, h), ["v", "u"])
+    return slopes.select(F.col("u").alias("tu"), F.col("v").alias("tv"), "intensity_dx", "intensity_dy", "depth_dx", "depth_dy")
+
+
+def odometry_information(source: DataFrame, target: DataFrame, k: np.ndarray, m: np.ndarray, width: int, height: int, max_difference: float) -> np.ndarray:
     pairs = pixel_pairs(source, target, np.asarray(k, float), m, width, height, max_difference)
     x, y, z = (F.col(c) for c in XYZ)
     zero, one = F.lit(0.0), F.lit(1.0)
     rows = [([zero, z, -y, one, zero, zero], zero), ([-z, zero, x, zero, one, zero], zero), ([y, -x, zero, zero, zero, one], zero)]
-    return True, m, np.eye(6) + jtj(pairs, rows)[0]
+    return np.eye(6) + jtj(pairs, rows)[0]
+
+
+def rgbd_odometry(source: DataFrame, target: DataFrame, k: np.ndarray, width: int, height: int, init: np.ndarray | None = None, iterations: Sequence[int] = (20, 10, 5), hybrid: bool = True, max_difference: float = 0.07, weight: float = 0.968) -> tuple[bool, np.ndarray, np.ndarray]:
+    """(success, motion, information) from one image (v, u, intensity, depth) to another; coarse to fine, one job for each step.
+
+    hybrid weighs depth against intensity; otherwise intensity alone counts.
+    """
+    ok, m, _ = _odometry(source, target, k, width, height, init, iterations, hybrid, max_difference, weight, lambda pairs, rows, _: jtj(pairs, rows)[:2])
+    return (True, m, odometry_information(source, target, k, m, width, height, max_difference)) if ok else (False, np.eye(4), np.eye(6))
+
+
+def weighted_rgbd_odometry(source: DataFrame, target: DataFrame, k: np.ndarray, width: int, height: int, init: np.ndarray | None = None, previous: Sequence[float] = (0.0,) * 6, iterations: Sequence[int] = (20, 10, 5), max_difference: float = 0.03, weight: float = 0.968, nu: float = 5.0, sigma2: float = 1.0, inverse_sigma: Sequence[float] = (0.0,) * 6) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
+    """(success, motion, twist, information): as rgbd_odometry with depth and intensity, with weights of a t-distribution whose scale goes from step to step, and with
+    a motion expected from the previous twist, as strongly as inverse_sigma says (rotation first)."""
+    scale, hold, before = [sigma2], np.asarray(inverse_sigma, float), np.asarray(previous, float)
+
+    def solve(pairs: DataFrame, rows: list, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b, _, scale[0] = weighted_jtj(pairs, rows, scale[0] or sigma2, nu)
+        return a + np.diag(hold), b - hold * (before - matrix_to_twist(moved))
+
+    ok, m, moved = _odometry(source, target, k, width, height, init, iterations, True, max_difference, weight, solve)
+    if not ok:
+        return False, np.eye(4), np.zeros(6), np.eye(6)
+    return True, m, matrix_to_twist(moved), odometry_information(source, target, k, m, width, height, max_difference)
+
+
+def _odometry(source: DataFrame, target: DataFrame, k: np.ndarray, width: int, height: int, init, iterations, hybrid: bool, max_difference: float, weight: float, solve) -> tuple[bool, np.ndarray, np.ndarray]:
+    """(success, motion, what was added to init); solve(pairs, rows, added so far) gives the normal equations of a step."""
+    m, moved = np.eye(4) if init is None else np.array(init, float), np.eye(4)
+    for (s, t, kk, w, h), steps in zip(odometry_levels(source, target, k, width, height, len(iterations))[::-1], iterations):
+        s, t = s.persist(), t.persist()
+        slopes = _with_slopes(t, w, h).persist()
+        try:
+            for _ in range(steps):
+                pairs = pixel_pairs(s, t, kk, m, w, h, max_difference).join(slopes, ["tu", "tv"])
+                a, b = solve(pairs, odometry_rows(kk, hybrid, weight), moved)
+                step = solve_psd(a, -b)
+                if step is None:
+                    return False, np.eye(4), np.eye(4)
+                step = twist_to_matrix(step)
+                m, moved = step @ m, step @ moved
+        finally:
+            for x in (s, t, slopes):
+                x.unpersist()
+    return True, m, moved

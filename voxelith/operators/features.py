@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +77,80 @@ def fpfh(df: DataFrame, k: int = 100, radius: float | None = None) -> DataFrame:
     block = lambda i: F.slice("s", F.floor(i / BINS).cast("int") * BINS + 1, BINS)
     share = lambda i: F.when(F.col("s").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.get("s", i) * 100.0 / F.nullif(F.aggregate(block(i), F.lit(0.0), lambda a, x: a + x), F.lit(0.0)), F.lit(0.0)))
     return both.select("id", F.transform("feat", lambda v, i: v + share(i)).alias("feat"))
+
+
+SHOT_BINS, SHOT_SECTORS = 10, 32
+
+
+def local_frame(q: np.ndarray, distance: np.ndarray, radius: float) -> np.ndarray:
+    """Rows x, y, z: the axes of the most and the least spread of the neighbours (n, 3), nearer ones counting more, each turned to where more of them lie."""
+    w = radius - distance
+    spread = np.linalg.eigh((q * w[:, None]).T @ q / w.sum())[1]
+    axes = [spread[:, 2], spread[:, 0]]
+    x, z = (-a if 2 * np.count_nonzero(q @ a >= 0) < len(q) else a for a in axes)
+    return np.stack([x, np.cross(z, x), z])
+
+
+def shot_of(q: np.ndarray, distance: np.ndarray, normal: np.ndarray, radius: float) -> np.ndarray:
+    """The histogram of one point: q are its neighbours less itself. Eight sectors around, two heights and two shells, of SHOT_BINS + 1 bins of the cosine between
+    the frame's z axis and the point's own normal; each neighbour also counts in part in the next bin, shell, height and sector."""
+    out = np.zeros(SHOT_SECTORS * (SHOT_BINS + 1))
+    if len(q) < 5:
+        return out
+    frame = local_frame(q, distance, radius)
+    cosine = (1 + np.clip(frame[2] @ normal, -1, 1)) * SHOT_BINS / 2
+    bin_ = int(np.floor(cosine + 0.5))
+    past = cosine - bin_
+    q, distance = q[distance > 0], distance[distance > 0]
+    x, y, z = frame @ q.T
+    # the sector's number: half plane, quadrant and octant of the direction around z
+    back = (y > 0) | (y == 0) & (x < 0)
+    side = np.where((x > 0) | (x == 0) & (y > 0), ~back, back)
+    steep = np.where((x * y > 0) | (x == 0), np.abs(x) < np.abs(y), np.abs(x) > np.abs(y))
+    sector = 4 * back + 2 * side + steep
+    outer, upper = distance > radius / 2, z > 0
+    volume = 4 * sector + 2 * outer + upper
+    own = np.full(len(q), 1 - abs(past))
+
+    def add(to: np.ndarray, part: np.ndarray, column: int, where=True) -> None:
+        where = np.broadcast_to(where, part.shape)
+        np.add.at(out, to[where] * (SHOT_BINS + 1) + column, part[where])
+
+    add(volume, np.full(len(q), abs(past)), (bin_ + (1 if past > 0 else -1)) % SHOT_BINS)
+    # shells: from the middle of the own one towards the other one
+    off = (distance - np.where(outer, 0.75, 0.25) * radius) / (radius / 2)
+    shared = np.where(outer, off <= 0, off >= 0)
+    own += 1 - np.abs(off)
+    add(volume + np.where(outer, -2, 2), np.abs(off), bin_, shared)
+    # heights
+    tilt = np.arccos(np.clip(z / distance, -1, 1))
+    down = (tilt > math.pi / 2) | (np.abs(tilt - math.pi / 2) < 1e-30) & (z <= 0)
+    off = (tilt - np.where(down, 0.75, 0.25) * math.pi) / (math.pi / 2)
+    shared = np.where(down, off <= 0, off >= 0)
+    own += 1 - np.abs(off)
+    add(volume + np.where(down, 1, -1), np.abs(off), bin_, shared)
+    # sectors
+    flat = (x != 0) | (y != 0)
+    off = np.clip((np.arctan2(y, x) - (-math.pi * 7 / 8 + math.pi / 4 * sector)) / (math.pi / 4), -0.5, 0.5)
+    own += np.where(flat, 1 - np.abs(off), 0)
+    add((volume + np.where(off > 0, 4, -4)) % SHOT_SECTORS, np.abs(off), bin_, flat)
+    add(volume, own, bin_)
+    norm = np.linalg.norm(out)
+    return out / norm if norm else out
+
+
+def shot(df: DataFrame, radius: float, max_nn: int = 100) -> DataFrame:
+    """(id, feat): 352 numbers of norm 1, or zeros for points with fewer than five neighbours (max_nn at most, the nearest)."""
+    pairs = radius_join(df, df, radius, max_nn=max_nn, keep_query=[*XYZ, *NORMAL], keep_target=XYZ).where("q <> t")
+    near = F.collect_list(F.struct("d2", "t", *[(F.col(f"t_{c}") - F.col(f"q_{c}")).alias(c) for c in XYZ]))
+    each = pairs.groupBy("q").agg(F.array_sort(near).alias("near")).select(F.col("q").alias("id"), F.col("near.d2").alias("d2"), *[F.col(f"near.{c}").alias(f"d{c}") for c in XYZ])
+    each = df.select("id", *NORMAL).join(each, "id", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            feats = []
+            for normal, d2, *d in zip(p[list(NORMAL)].to_numpy(), p["d2"], *(p[f"d{c}"] for c in XYZ)):
+                feats.append(np.zeros(SHOT_SECTORS * (SHOT_BINS + 1)) if d2 is None else shot_of(np.stack(d, axis=1), np.sqrt(d2), normal, radius))
+            yield pd.DataFrame({"id": p["id"], "feat": [f.tolist() for f in feats]})
+
+    return each.mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, feat array<double>")

@@ -35,121 +35,133 @@ def _joined(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(points), np.concatenate(triangles)
 
 
+#: Corners and faces of four solids, in the order that ids refer to. The icosahedron's corners are in units of (1, golden ratio).
+BOX = [(0, 0, 0), (1, 0, 0), (0, 0, 1), (1, 0, 1), (0, 1, 0), (1, 1, 0), (0, 1, 1), (1, 1, 1)]
+BOX_FACES = [(4, 7, 5), (4, 6, 7), (0, 2, 4), (2, 6, 4), (0, 1, 2), (1, 3, 2), (1, 5, 7), (1, 7, 3), (2, 3, 7), (2, 7, 6), (0, 4, 1), (1, 4, 5)]
+TETRAHEDRON_FACES = [(0, 2, 1), (0, 3, 2), (0, 1, 3), (1, 2, 3)]
+OCTAHEDRON = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (-1, 0, 0), (0, -1, 0), (0, 0, -1)]
+OCTAHEDRON_FACES = [(0, 1, 2), (1, 3, 2), (3, 4, 2), (4, 0, 2), (0, 5, 1), (1, 5, 3), (3, 5, 4), (4, 5, 0)]
+GOLDEN = (1 + math.sqrt(5)) / 2
+ICOSAHEDRON = [(-1, 0, GOLDEN), (1, 0, GOLDEN), (1, 0, -GOLDEN), (-1, 0, -GOLDEN), (0, -GOLDEN, 1), (0, GOLDEN, 1), (0, GOLDEN, -1), (0, -GOLDEN, -1), (-GOLDEN, -1, 0), (GOLDEN, -1, 0), (GOLDEN, 1, 0), (-GOLDEN, 1, 0)]
+ICOSAHEDRON_FACES = [
+    (0, 4, 1), (0, 1, 5), (1, 4, 9), (1, 9, 10), (1, 10, 5), (0, 8, 4), (0, 11, 8), (0, 5, 11), (5, 6, 11), (5, 10, 6),
+    (4, 8, 7), (4, 7, 9), (3, 6, 2), (3, 2, 7), (2, 6, 10), (2, 10, 9), (2, 9, 7), (3, 11, 6), (3, 8, 11), (3, 7, 8),
+]
+
+
 def box(w: float = 1.0, h: float = 1.0, d: float = 1.0):
-    points = np.array([[x, y, z] for z in (0.0, d) for y in (0.0, h) for x in (0.0, w)])
-    quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
-    return points, np.array([t for a, b, c, e in quads for t in ((a, b, c), (a, c, e))])
+    return np.array(BOX) * [w, h, d], np.array(BOX_FACES)
 
 
 def tetrahedron(r: float = 1.0):
-    a = [0.0, 2 * math.pi / 3, 4 * math.pi / 3]
-    base = [[r * math.sqrt(8 / 9) * math.cos(t), r * math.sqrt(8 / 9) * math.sin(t), -r / 3] for t in a]
-    return np.array([[0, 0, r], *base]), np.array([[0, 1, 2], [0, 2, 3], [0, 3, 1], [1, 3, 2]])
+    """Three corners at a third of the radius below, the tip last."""
+    turns = 2 * math.pi / 3 * np.arange(3)
+    base = _rings(np.array([math.sqrt(8 / 9)]), np.array([-1 / 3]), turns)
+    return r * np.concatenate([base, [[0, 0, 1]]]), np.array(TETRAHEDRON_FACES)
 
 
 def octahedron(r: float = 1.0):
-    points = np.array([[r, 0, 0], [0, r, 0], [0, 0, r], [-r, 0, 0], [0, -r, 0], [0, 0, -r]])
-    return points, np.array([[0, 1, 2], [1, 3, 2], [3, 4, 2], [4, 0, 2], [1, 0, 5], [3, 1, 5], [4, 3, 5], [0, 4, 5]])
+    return r * np.array(OCTAHEDRON, float), np.array(OCTAHEDRON_FACES)
 
 
 def icosahedron(r: float = 1.0):
-    """Two poles and two rings of five."""
-    points = [[0, 0, r]]
-    for z, turn in ((r / math.sqrt(5), 0.0), (-r / math.sqrt(5), math.pi / 5)):
-        points += [[2 * r / math.sqrt(5) * math.cos(turn + 2 * math.pi * i / 5), 2 * r / math.sqrt(5) * math.sin(turn + 2 * math.pi * i / 5), z] for i in range(5)]
-    points.append([0, 0, -r])
-    triangles = []
-    for i in range(5):
-        a, b = 1 + i, 1 + (i + 1) % 5
-        c, d = 6 + i, 6 + (i + 1) % 5
-        triangles += [[0, a, b], [a, c, b], [b, c, d], [11, d, c]]
-    return np.array(points), np.array(triangles)
-
-
-def _strip(rows: int, cols: int, base: int, closed: bool = True) -> list:
-    """Triangles between rings of `cols` points, one ring after another."""
-    out = []
-    for i in range(rows - 1):
-        for j in range(cols if closed else cols - 1):
-            a, b = base + i * cols + j, base + i * cols + (j + 1) % cols
-            out += [[a, a + cols, b], [b, a + cols, b + cols]]
-    return out
+    """r scales corners of the norm sqrt(1 + golden ratio ** 2)."""
+    return r * np.array(ICOSAHEDRON), np.array(ICOSAHEDRON_FACES)
+
+
+def _turns(n: int) -> np.ndarray:
+    return 2 * math.pi / n * np.arange(n)
+
+
+def _rings(radii: np.ndarray, heights: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Points of rings, one ring after another."""
+    circle = np.stack([np.cos(turns), np.sin(turns)], axis=1)
+    flat = radii[:, None, None] * circle
+    return np.concatenate([flat, np.broadcast_to(heights[:, None, None], (*flat.shape[:2], 1))], axis=2).reshape(-1, 3)
+
+
+def _bands(first: int, rows: int, cols: int, rising: bool = False) -> np.ndarray:
+    """Two triangles for each cell between neighbouring rings; rings go down, or up where they are rising."""
+    i, j = (x.reshape(-1) for x in np.indices((rows - 1, cols)))
+    a, b = first + i * cols + j, first + i * cols + (j + 1) % cols
+    if rising:
+        a, b = b, a
+    c, d = a + cols, b + cols
+    return np.stack([c, b, a, c, d, b], axis=1).reshape(-1, 3)
 
 
-def _fan(tip: int, ring: int, cols: int, flip: bool) -> list:
-    return [[tip, ring + (j + 1) % cols, ring + j] if flip else [tip, ring + j, ring + (j + 1) % cols] for j in range(cols)]
+def _fans(top: int, ring: int, bottom: int, other: int, cols: int) -> np.ndarray:
+    """Triangles of two tips with their rings, in turn."""
+    j = np.arange(cols)
+    k = (j + 1) % cols
+    return np.stack([np.full(cols, top), ring + j, ring + k, np.full(cols, bottom), other + k, other + j], axis=1).reshape(-1, 3)
 
 
 def sphere(r: float = 1.0, resolution: int = 20):
-    cols, points = 2 * resolution, [[0, 0, r], [0, 0, -r]]
-    for i in range(1, resolution):
-        a = math.pi * i / resolution
-        points += [[r * math.sin(a) * math.cos(math.pi * j / resolution), r * math.sin(a) * math.sin(math.pi * j / resolution), r * math.cos(a)] for j in range(cols)]
-    return np.array(points), np.array(_fan(0, 2, cols, False) + _fan(1, 2 + (resolution - 2) * cols, cols, True) + _strip(resolution - 1, cols, 2))
+    """Two poles, then the rings from above; twice `resolution` points in a ring."""
+    cols, a = 2 * resolution, math.pi / resolution * np.arange(1, resolution)
+    points = np.concatenate([[[0, 0, 1], [0, 0, -1]], _rings(np.sin(a), np.cos(a), _turns(cols))])
+    return r * points, np.concatenate([_fans(0, 2, 1, 2 + (resolution - 2) * cols, cols), _bands(2, resolution - 1, cols)])
 
 
 def half_sphere(r: float = 1.0, resolution: int = 20):
-    cols, points = 2 * resolution, [[0, 0, r]]
-    for i in range(1, resolution + 1):
-        a = math.pi / 2 * i / resolution
-        points += [[r * math.sin(a) * math.cos(math.pi * j / resolution), r * math.sin(a) * math.sin(math.pi * j / resolution), r * math.cos(a)] for j in range(cols)]
-    return np.array(points), np.array(_fan(0, 1, cols, False) + _strip(resolution, cols, 1))
+    """The upper half of a sphere, down to its equator."""
+    cols, a = 2 * resolution, math.pi / resolution * np.arange(1, resolution // 2 + 1)
+    points = np.concatenate([[[0, 0, 1]], _rings(np.sin(a), np.cos(a), _turns(cols))])
+    return r * points, np.concatenate([_fans(0, 1, 0, 1, cols).reshape(-1, 2, 3)[:, 0], _bands(1, resolution // 2, cols)])
 
 
 def tube(r: float = 1.0, h: float = 2.0, resolution: int = 20, split: int = 4):
-    points = [[r * math.cos(2 * math.pi * j / resolution), r * math.sin(2 * math.pi * j / resolution), h / 2 - h * i / split] for i in range(split + 1) for j in range(resolution)]
-    return np.array(points), np.array(_strip(split + 1, resolution, 0))
+    heights = h / 2 - h / split * np.arange(split + 1)
+    return _rings(np.full(split + 1, r), heights, _turns(resolution)), _bands(0, split + 1, resolution)
 
 
 def cylinder(r: float = 1.0, h: float = 2.0, resolution: int = 20, split: int = 4):
-    p, t = tube(r, h, resolution, split)
-    n = len(p)
-    caps = _fan(n, 0, resolution, False) + _fan(n + 1, split * resolution, resolution, True)
-    return np.concatenate([p, [[0, 0, h / 2], [0, 0, -h / 2]]]), np.concatenate([t, caps])
+    """The middles of both ends, then the rings from above."""
+    points = np.concatenate([[[0, 0, h / 2], [0, 0, -h / 2]], tube(r, h, resolution, split)[0]])
+    return points, np.concatenate([_fans(0, 2, 1, 2 + split * resolution, resolution), _bands(2, split + 1, resolution)])
 
 
 def capsule(r: float = 1.0, h: float = 2.0, resolution: int = 20, split: int = 4):
+    """A tube, a half sphere above, and one turned over below."""
     p, t = half_sphere(r, resolution)
-    top, bottom = p + [0, 0, h / 2], p * [1, 1, -1] - [0, 0, h / 2]
-    return _joined((top, t), (bottom, t[:, ::-1]), tube(r, h, 2 * resolution, split))
+    return _joined(tube(r, h, resolution, split), (p + [0, 0, h / 2], t), (p * [1, -1, -1] - [0, 0, h / 2], t))
 
 
 def cone(r: float = 1.0, h: float = 2.0, resolution: int = 20, split: int = 1):
-    points = [[0, 0, 0], [0, 0, h]]
-    for i in range(1, split + 1):
-        s = i / split
-        points += [[r * s * math.cos(2 * math.pi * j / resolution), r * s * math.sin(2 * math.pi * j / resolution), h * (1 - s)] for j in range(resolution)]
-    return np.array(points), np.array(_fan(1, 2, resolution, False) + _fan(0, 2 + (split - 1) * resolution, resolution, True) + _strip(split, resolution, 2))
+    """The middle of the base, the tip, then the rings from below."""
+    i = np.arange(split)
+    points = np.concatenate([[[0, 0, 0], [0, 0, h]], _rings(r / split * (split - i), h / split * i, _turns(resolution))])
+    # seen from below the base's triangles turn the other way
+    fans = _fans(0, 2, 1, 2 + (split - 1) * resolution, resolution)[:, [0, 2, 1]]
+    return points, np.concatenate([fans, _bands(2, split, resolution, rising=True)])
 
 
 def torus(ring: float = 1.0, tube_radius: float = 0.5, rings: int = 30, sides: int = 20):
-    points = [[(ring + tube_radius * math.cos(2 * math.pi * j / sides)) * math.cos(2 * math.pi * i / rings), (ring + tube_radius * math.cos(2 * math.pi * j / sides)) * math.sin(2 * math.pi * i / rings), tube_radius * math.sin(2 * math.pi * j / sides)] for i in range(rings) for j in range(sides)]
-    triangles = []
-    for i in range(rings):
-        for j in range(sides):
-            a, b = i * sides + j, i * sides + (j + 1) % sides
-            c, d = (i + 1) % rings * sides + j, (i + 1) % rings * sides + (j + 1) % sides
-            triangles += [[a, c, b], [b, c, d]]
-    return np.array(points), np.array(triangles)
+    v = _turns(sides)
+    profile = np.stack([ring + tube_radius * np.cos(v), np.zeros(sides), tube_radius * np.sin(v)], axis=1)
+    u = _turns(rings)
+    points = np.stack([np.outer(np.cos(u), profile[:, 0]), np.outer(np.sin(u), profile[:, 0]), np.broadcast_to(profile[:, 2], (rings, sides))], axis=2).reshape(-1, 3)
+    i, j = (x.reshape(-1) for x in np.indices((rings, sides)))
+    at = lambda di, dj: (i + di) % rings * sides + (j + dj) % sides
+    return points, np.stack([at(1, 0), at(1, 1), at(0, 0), at(0, 0), at(1, 1), at(0, 1)], axis=1).reshape(-1, 3)
 
 
 def moebius(length: int = 70, width: int = 15, twists: int = 1, r: float = 1.0, flat: float = 1.0, w: float = 1.0, scale: float = 1.0):
-    points = []
-    for i in range(length):
-        a = 2 * math.pi * i / length
-        for j in range(width):
-            s = -w / 2 + w * j / (width - 1)
-            points.append([scale * (math.cos(a) * (r + s * math.cos(twists * a / 2))), scale * (math.sin(a) * (r + s * math.cos(twists * a / 2))), scale * flat * s * math.sin(twists * a / 2)])
-    triangles = []
-    for i in range(length):
-        for j in range(width - 1):
-            a, b = i * width + j, i * width + j + 1
-            if i + 1 < length or twists % 2 == 0:
-                c, d = (i + 1) % length * width + j, (i + 1) % length * width + j + 1
-            else:  # the band closes upside down
-                c, d = width - 1 - j, width - 2 - j
-            triangles += [[a, c, b], [b, c, d]]
-    return np.array(points), np.array(triangles)
+    """A band of `length` by `width` points; neighbouring cells are cut along different diagonals, and odd twists close it upside down."""
+    u, s = _turns(length)[:, None], -w / 2 + w / (width - 1) * np.arange(width)
+    half = twists * u / 2
+    points = scale * np.stack([np.cos(u) * (r + s * np.cos(half)), np.sin(u) * (r + s * np.cos(half)), flat * s * np.sin(half)], axis=2).reshape(-1, 3)
+    i, j = (x.reshape(-1) for x in np.indices((length, width - 1)))
+    a, b, even = i * width + j, i * width + j + 1, (i + j) % 2 == 0
+    over = (i == length - 1) & (twists % 2 == 1)
+    after = (i + 1) % length * width
+    c, d = np.where(over, width - 1 - j, after + j), np.where(over, width - 2 - j, after + j + 1)
+    one = np.where(even[:, None], np.stack([a, d, b], axis=1), np.stack([b, a, c], axis=1))
+    two = np.where(even[:, None], np.stack([a, c, d], axis=1), np.stack([b, c, d], axis=1))
+    # across the twist the faces look the other way
+    one[over], two[over] = one[over][:, [0, 2, 1]], np.where(even[over][:, None], two[over][:, [0, 2, 1]], two[over][:, [1, 0, 2]])
+    return points, np.stack([one, two], axis=1).reshape(-1, 3)
 
 
 def arrow(cylinder_radius: float = 1.0, cone_radius: float = 1.5, cylinder_height: float = 5.0, cone_height: float = 4.0, resolution: int = 20, cylinder_split: int = 4, cone_split: int = 1):
@@ -160,6 +172,7 @@ def arrow(cylinder_radius: float = 1.0, cone_radius: float = 1.5, cylinder_heigh
 
 def coordinate_frame(size: float = 1.0, origin: Sequence[float] = (0, 0, 0)):
     a, t = arrow(0.035 * size, 0.06 * size, 0.8 * size, 0.2 * size)
+    # arrows along x, y and z
     return _joined(*((p + np.asarray(origin), u) for p, u in (sphere(0.06 * size), (a[:, [2, 0, 1]], t), (a[:, [1, 2, 0]], t), (a, t))))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -36,15 +37,15 @@ def to_points(df: DataFrame, angle_min: float, angle_increment: float, low: floa
     return out.withColumns({c: F.col("intensity") for c in "rgb"}) if "intensity" in df.columns else out
 
 
-def from_points(df: DataFrame, angle_increment: float, min_height: float, max_height: float, layers: int = 1, min_range: float = 0.0, max_range: float = float("inf"), angle_min: float = -math.pi, angle_max: float = math.pi) -> DataFrame:
-    """(scan, step, range): per layer of height and step of angle the least distance from the z axis."""
+def from_points(df: DataFrame, angle_increment: float, min_height: float, max_height: float, layers: int = 1, min_range: float = 0.0, max_range: float = float("inf"), angle_min: float = -math.pi, angle_max: float = math.pi, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, scan, step, range): for each cloud that the keys tell apart, per layer of height and step of angle the least distance from the z axis."""
     steps = math.ceil((angle_max - angle_min) / angle_increment)
     dz = (max_height - min_height) / layers
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
     step = F.floor((F.atan2("y", "x") - angle_min) / angle_increment).cast("int")
     layer = F.floor((F.col("z") - min_height) / dz).cast("int")
-    keep = df.select(layer.alias("scan"), step.alias("step"), r.alias("r"), "z").where((F.col("z") >= min_height) & (F.col("z") < max_height) & F.col("r").between(min_range, max_range) & F.col("step").between(0, steps - 1))
-    return keep.groupBy("scan", "step").agg(F.min("r").alias("range"))
+    keep = df.select(*keys, layer.alias("scan"), step.alias("step"), r.alias("r"), "z").where((F.col("z") >= min_height) & (F.col("z") < max_height) & F.col("r").between(min_range, max_range) & F.col("step").between(0, steps - 1))
+    return keep.groupBy(*keys, "scan", "step").agg(F.min("r").alias("range"))
 
 
 def shadows_filter(df: DataFrame, steps: int, angle_increment: float, min_angle: float, max_angle: float, window: int = 1, neighbors: int = 0, remove_start: bool = False) -> DataFrame:

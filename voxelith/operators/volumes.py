@@ -25,7 +25,7 @@ def open_cells(points: DataFrame, size: float, trunc: float, origin: Sequence[fl
 
 
 def integrate(volume: DataFrame | None, cells: DataFrame, pixels: DataFrame, k: np.ndarray, extrinsic: np.ndarray, size: float, trunc: float, origin: Sequence[float] = (0.0, 0.0, 0.0), multiplier: DataFrame | None = None) -> DataFrame:
-    """The volume after one depth image (v, u, depth [, r, g, b]): running means over all images that saw a cell.
+    """The volume after a depth image (v, u, depth [, r, g, b]), or after many of one camera (img too): running means over all images that saw a cell.
 
     A cell counts if its pixel has a depth and it lies no farther behind that than trunc. multiplier (v, u, m) turns depths into distances.
     """
@@ -34,13 +34,16 @@ def integrate(volume: DataFrame | None, cells: DataFrame, pixels: DataFrame, k:
     sdf = F.col("depth") - F.col("d")
     if multiplier is not None:
         seen, sdf = seen.join(multiplier, ["v", "u"]), sdf * F.col("m")
-    new = seen.where(sdf > -trunc).select(*KEYS, F.least(F.lit(1.0), sdf / trunc).alias("t__"), *[F.col(c).alias(f"{c}__") for c in colors])
+    names = ["tsdf", *colors]
+    one = seen.where(sdf > -trunc).select(*KEYS, F.least(F.lit(1.0), sdf / trunc).alias("tsdf"), *colors)
+    # sums and counts, so that images may come in any order and number
+    new = one.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("double").alias("n__"), *[F.sum(c).alias(f"{c}__") for c in names])
     if volume is None:
-        return new.select(*KEYS, F.col("t__").alias("tsdf"), F.lit(1.0).alias("weight"), *[F.col(f"{c}__").alias(c) for c in colors])
+        return new.select(*KEYS, (F.col("tsdf__") / F.col("n__")).alias("tsdf"), F.col("n__").alias("weight"), *[(F.col(f"{c}__") / F.col("n__")).alias(c) for c in colors])
     both = volume.join(new, KEYS, "full")
     w = F.coalesce("weight", F.lit(0.0))
-    mean = lambda old, now: F.when(F.col("t__").isNull(), F.col(old)).otherwise((F.coalesce(old, F.lit(0.0)) * w + F.col(now)) / (w + 1)).alias(old)
-    return both.select(*KEYS, mean("tsdf", "t__"), F.when(F.col("t__").isNull(), w).otherwise(w + 1).alias("weight"), *[mean(c, f"{c}__") for c in colors])
+    mean = lambda c: F.when(F.col("n__").isNull(), F.col(c)).otherwise((F.coalesce(c, F.lit(0.0)) * w + F.col(f"{c}__")) / (w + F.col("n__"))).alias(c)
+    return both.select(*KEYS, mean("tsdf"), (w + F.coalesce("n__", F.lit(0.0))).alias("weight"), *[mean(c) for c in colors])
 
 
 def voxel_points(volume: DataFrame, size: float, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:

@@ -87,11 +87,24 @@ def project(df: DataFrame, k: np.ndarray, extrinsic: np.ndarray) -> DataFrame:
 
 
 def carve(voxels: DataFrame, pixels: DataFrame, k: np.ndarray, extrinsic: np.ndarray, size: float, origin: Sequence[float], keep_outside: bool = False) -> DataFrame:
-    """Voxels of which some corner lies at or behind the depth of its pixel (v, u, c0), or outside of the image if that is to be kept."""
+    """Voxels of which some corner lies at or behind the depth of its pixel (v, u, c0), or outside of the image if that is to be kept.
+
+    With several images (img) of one camera a voxel has to stay in all of them.
+    """
     corners = project(bounding_points(voxels, size, origin), k, extrinsic)
-    seen = corners.join(pixels.select("v", "u", "c0"), ["v", "u"], "left")
+    several = "img" in pixels.columns
+    if several:
+        images = pixels.select("img").distinct()
+        corners = corners.crossJoin(F.broadcast(images)) if keep_outside else corners  # one row an image
+    on = ["img", "v", "u"] if several and keep_outside else ["v", "u"]
+    seen = corners.join(pixels.select(*(["img"] if several else []), "v", "u", "c0"), on, "left")
     stays = F.when(F.col("c0").isNull(), F.lit(keep_outside)).otherwise((F.col("c0") > 0) & (F.col("d") >= F.col("c0")))
-    keep = seen.groupBy(*KEYS).agg(F.bool_or(stays).alias("keep")).where("keep").select(*KEYS)
+    if several:
+        n = images.count()
+        each = seen.where("img is not null").groupBy(*KEYS, "img").agg(F.bool_or(stays).alias("keep")).where("keep")
+        keep = each.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select(*KEYS)
+    else:
+        keep = seen.groupBy(*KEYS).agg(F.bool_or(stays).alias("keep")).where("keep").select(*KEYS)
     return voxels.join(keep, KEYS, "left_semi")
 
 

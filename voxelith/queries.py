@@ -178,10 +178,10 @@ query("pr_46_flip_vertical", f"SELECT img, 99 - v AS v, u, {r('c0')} FROM pix")(
 query("pr_46_flip_horizontal", f"SELECT img, v, 99 - u AS u, {r('c0')} FROM pix")(lambda c: images.flip_horizontal(c.pix, 100))
 query(
     "pr_47_float_value_at",
-    f"""WITH spot AS (SELECT id, 40 + x * 5 AS pu, 45 + y * 5 AS pv, least(greatest(floor(40 + x * 5)::INT, 0), 98) AS u0, least(greatest(floor(45 + y * 5)::INT, 0), 98) AS v0 FROM pts)
+    f"""WITH spot AS (SELECT id, id % (SELECT max(img) + 1 FROM pix) AS own, 40 + x * 5 AS pu, 45 + y * 5 AS pv, least(greatest(floor(40 + x * 5)::INT, 0), 98) AS u0, least(greatest(floor(45 + y * 5)::INT, 0), 98) AS v0 FROM pts)
     SELECT id, {r('sum(c0 * (CASE WHEN u = u0 THEN 1 - (pu - u0) ELSE pu - u0 END) * (CASE WHEN v = v0 THEN 1 - (pv - v0) ELSE pv - v0 END)) AS value')}
-    FROM spot LEFT JOIN pix ON img = 0 AND u IN (u0, u0 + 1) AND v IN (v0, v0 + 1) AND pu BETWEEN 0 AND 99 AND pv BETWEEN 0 AND 99 GROUP BY id""",
-)(lambda c: images.value_at(c.xyz.select("id", F.lit(0).cast("long").alias("img"), (40 + F.col("x") * 5).alias("pu"), (45 + F.col("y") * 5).alias("pv")), c.pix.withColumns({"u": F.col("u").cast("int"), "v": F.col("v").cast("int")}), 100, 100))
+    FROM spot LEFT JOIN pix ON img = own AND u IN (u0, u0 + 1) AND v IN (v0, v0 + 1) AND pu BETWEEN 0 AND 99 AND pv BETWEEN 0 AND 99 GROUP BY id""",
+)(lambda c: images.value_at(c.xyz.select("id", (F.col("id") % (c.pix.agg(F.max("img")).first()[0] + 1)).alias("img"), (40 + F.col("x") * 5).alias("pu"), (45 + F.col("y") * 5).alias("pv")), c.pix.withColumns({"u": F.col("u").cast("int"), "v": F.col("v").cast("int")}), 100, 100))
 query("pr_53_occupied_or_unknown", "WITH q AS (SELECT id, floor(x / 0.5)::INT AS ix, floor(y / 0.5)::INT AS iy, floor(z / 0.5)::INT AS iz FROM ptb) SELECT q.id, vox.ix IS NOT NULL AS occupied, vox.ix IS NULL AS unknown FROM q LEFT JOIN vox USING (ix, iy, iz)")(lambda c: voxels.state_of(c.ptb, c.vox.withColumn("prob_log", F.lit(0.85)), 0.5, (0, 0, 0)))
 
 # Filters
@@ -206,14 +206,13 @@ query(
     "fl_14_carve_depth_map",
     """WITH corner AS (SELECT ix, iy, iz, (ix + a) * 0.5 AS x, (iy + b) * 0.5 AS y, (iz + c) * 0.5 + 4.0 AS d FROM vox, range(2) p(a), range(2) q(b), range(2) s(c)),
     uv AS (SELECT *, floor(x * 50 / d + 49.5)::INT AS u, floor(y * 50 / d + 49.5)::INT AS v FROM corner WHERE d > 0)
-    SELECT DISTINCT ix, iy, iz FROM uv JOIN (SELECT v, u, c0 / 10 AS c0 FROM pix WHERE img = 0) USING (v, u) WHERE c0 > 0 AND d >= c0""",
-)(lambda c: voxels.carve(c.vox, images.linear_transform(c.pix.where("img = 0"), 0.1), K, CAM, 0.5, (0, 0, 0)))
+    SELECT ix, iy, iz FROM uv JOIN (SELECT img, v, u, c0 / 10 AS c0 FROM pix) USING (v, u) WHERE c0 > 0 AND d >= c0 GROUP BY ALL HAVING count(DISTINCT img) = (SELECT count(DISTINCT img) FROM pix)""",
+)(lambda c: voxels.carve(c.vox, images.linear_transform(c.pix, 0.1), K, CAM, 0.5, (0, 0, 0)))
 query("fl_16_18_occupancy_split", "WITH e AS (SELECT ix, iy, iz, count(*) FILTER (hit) AS h, count(*) FILTER (NOT hit) AS m FROM (SELECT floor(x / 0.5)::INT AS ix, floor(y / 0.5)::INT AS iy, floor(z / 0.5)::INT AS iz, id % 3 = 0 AS hit FROM pts) GROUP BY ALL), p AS (SELECT ix, iy, iz, least(3.5, greatest(-2.0, m * -0.4) + h * 0.85)::DOUBLE AS p FROM e) SELECT ix, iy, iz, round(p, 6) + 0.0 AS prob_log, p > 0 AS occupied FROM p")(lambda c: voxels.known(voxels.updated(None, c.xyz.select(*points.voxel_keys(c.xyz, 0.5, [0.0] * 3), (F.col("id") % 3 == 0).alias("occupied")))).withColumn("occupied", F.col("prob_log") > 0))
 query("fl_19_degenerate_triangles", f"WITH {TRI} SELECT tid, v0, v1, CASE WHEN tid % 4 = 0 THEN v0 ELSE v2 END AS v2 FROM tri WHERE tid % 4 <> 0")(lambda c: meshes.remove_degenerate_triangles(c.mesh[1].withColumn("v2", F.when(F.col("tid") % 4 == 0, F.col("v0")).otherwise(F.col("v2")))))
 query("fl_20_unreferenced_vertices", f"WITH {TRI}, s AS (SELECT * FROM tri WHERE tid % 10 = 0), u AS (SELECT v0 AS id FROM s UNION SELECT v1 FROM s UNION SELECT v2 FROM s) SELECT row_number() OVER (ORDER BY id) - 1 AS id, {r('x', 'y', 'z')} FROM pts SEMI JOIN u USING (id)")(lambda c: meshes.remove_unreferenced_vertices((c.mesh[0], c.mesh[1].where("tid % 10 = 0")))[0])
 query("fl_21_remove_edges", f"SELECT src, dst, {r('weight')} FROM net WHERE NOT (src % 10 = 0 AND dst = src + 1) AND NOT (dst % 10 = 0 AND src = dst + 1)")(lambda c: graphs.remove_edges(c.net, c.net.where("src % 10 = 0 and dst = src + 1")))
-query("fl_25_aabb_aabb", "SELECT a.id AS a, b.id AS b FROM pts a JOIN ptb b ON b.id < 20 AND abs(a.x - b.x) <= 0.5 AND abs(a.y - b.y) <= 0.5 AND abs(a.z - b.z) <= 0.5")(lambda c: _boxes(c.xyz, c.ptb.where("id < 20")))
-query("fl_25_aabb_aabb_all", "SELECT a.id AS a, b.id AS b FROM pts a JOIN ptb b ON abs(a.x - b.x) <= 0.5 AND abs(a.y - b.y) <= 0.5 AND abs(a.z - b.z) <= 0.5")(lambda c: _boxes(c.xyz, c.ptb))
+query("fl_25_aabb_aabb", "SELECT a.id AS a, b.id AS b FROM pts a JOIN ptb b ON abs(a.x - b.x) <= 0.5 AND abs(a.y - b.y) <= 0.5 AND abs(a.z - b.z) <= 0.5")(lambda c: _boxes(c.xyz, c.ptb))
 SEG = "seg AS (SELECT a.id, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM pts a JOIN ptb b USING (id))"
 query("fl_31_point_line", f"WITH {SEG}, w AS (SELECT id, ax * 0 + ay AS px, ay * bz - az * by_ AS c1, az * bx - ax * bz AS c2, ax * by_ - ay * bx AS c3, bx, by_, bz FROM seg) SELECT id, {r('sqrt(c1 * c1 + c2 * c2 + c3 * c3) / sqrt(bx * bx + by_ * by_ + bz * bz) AS d')} FROM w")(lambda c: _segments(c).select("id", predicates.point_line(_abc("a"), [F.lit(0.0)] * 3, _abc("b")).alias("d")))
 query("fl_33_point_aabb", f"SELECT id, {r('pow(greatest(-1 - x, 0, x - 1), 2) + pow(greatest(-0.5 - y, 0, y - 0.5), 2) + pow(greatest(0 - z, 0, z - 1), 2) AS d2')} FROM pts")(lambda c: c.xyz.select("id", predicates.point_aabb_squared([F.col(k) for k in XYZ], [F.lit(v) for v in (-1.0, -0.5, 0.0)], [F.lit(v) for v in (1.0, 0.5, 1.0)]).alias("d2")))
@@ -283,8 +282,6 @@ query("ag_07_gaussian_filter", f"WITH {KNN.format(q='pts', t='pts')}, w AS (SELE
 query("ag_09_model_resolution", f"WITH {KNN.format(q='pts', t='pts')} SELECT {r('sqrt(avg(d2)) AS resolution')} FROM k WHERE rn = 2")(lambda c: points.model_resolution(c.xyz))
 query("ag_08_iss_keypoints")(lambda c: points.iss_keypoints(c.xyz, 1.2, 0.8).select("id"))
 query("ag_14_kabsch_sums", f"SELECT count(*) AS n, {r('count(*) AS w', *[f'avg(p.{c}) AS q{c}' for c in XYZ], *[f'avg(t.{c}) AS t{c}' for c in XYZ], *[f'avg(p.{a} * t.{b}) AS {a}{b}' for a in XYZ for b in XYZ])} FROM ptb p JOIN pts t USING (id)")(lambda c: registration.sums_for_kabsch(_paired(c)).withColumn("w", F.col("w").cast("double")))
-query("ag_14_kabsch")(lambda c: numbers(c.spark, registration.kabsch_of(_paired(c, points.transform(c.xyz, M)))))
-query("ag_16_jtj")(lambda c: numbers(c.spark, registration.jtj(registration.correspondences(c.ptb, c.pts, 1.0, normals=True), registration.plane_rows())[0]))
 query("ag_18_point_to_point_rmse", f"SELECT {r('sqrt(avg((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) + (p.z - t.z) * (p.z - t.z))) AS rmse')} FROM ptb p JOIN pts t USING (id)")(lambda c: c.spark.createDataFrame([(registration.PointToPoint().rmse(_paired(c)),)], "rmse double"))
 query("ag_19_point_to_plane_rmse", f"SELECT {r('sqrt(avg(pow((p.x - t.x) * nx + (p.y - t.y) * ny + (p.z - t.z) * nz, 2))) AS rmse')} FROM ptb p JOIN pts t USING (id)")(lambda c: c.spark.createDataFrame([(registration.PointToPlane().rmse(_paired(c, target=c.pts)),)], "rmse double"))
 query("ag_26_voxel_bounds", f"SELECT {r(*[f'min({k}) * 0.5 + 1 AS min_{c}' for c, k in zip(XYZ, voxels.KEYS)], *[f'(max({k}) + 1) * 0.5 + 1 AS max_{c}' for c, k in zip(XYZ, voxels.KEYS)])} FROM vox")(lambda c: voxels.grid_bounds(c.vox, 0.5, (1, 1, 1)))
@@ -327,7 +324,6 @@ def _paired(c: Inputs, source: DataFrame | None = None, target: DataFrame | None
 
 # Ranks
 
-query("wn_02_farthest_points")(lambda c: points.farthest_point_down_sample(c.xyz, 10).select("id"))
 query("wn_03_segment_plane")(lambda c: points.segment_plane(c.xyz, 0.3, 50, seed=3)[1].select("id"))
 query("wn_04_score_plane", f"WITH d AS (SELECT abs(0.6 * x + 0.8 * y - 0.1) AS d FROM pts) SELECT 0 AS model, count(*) AS inliers, {r('sum(d) AS error')} FROM d WHERE d < 0.4")(lambda c: points.score_planes(c.xyz, [np.array([0.6, 0.8, 0.0, -0.1])], 0.4))
 query("wn_07_sample_points")(lambda c: meshes.sample_points_uniformly(c.mesh, 1000))
@@ -375,8 +371,6 @@ query("io_49_scan_from_points", f"WITH s AS (SELECT floor((z + 2) / 1.0)::INT AS
 query("io_51_dense_grid", "SELECT (i // 12)::INT AS ix, (i // 3 % 4)::INT AS iy, (i % 3)::INT AS iz FROM range(24) t(i)")(lambda c: voxels.dense(c.spark, 0.5, (1.0, 2.0, 1.5)))
 query("io_53_voxels_from_points", f"SELECT floor(x / 0.5)::INT AS ix, floor(y / 0.5)::INT AS iy, floor(z / 0.5)::INT AS iz, {r('avg(r) AS r', 'avg(g) AS g', 'avg(b) AS b')} FROM pts GROUP BY 1, 2, 3")(lambda c: voxels.from_points(c.pts, 0.5, (0, 0, 0)))
 query("io_60_lines_of_mesh", f"WITH {TRI}, {EDGES} SELECT src, dst FROM ed WHERE src < dst")(lambda c: meshes.line_set(c.mesh)[1])
-for _id, _shape in (("67_tetrahedron", "tetrahedron"), ("68_octahedron", "octahedron"), ("69_icosahedron", "icosahedron"), ("70_box", "box"), ("71_sphere", "sphere"), ("72_half_sphere", "half_sphere"), ("73_cylinder", "cylinder"), ("74_tube", "tube"), ("75_capsule", "capsule"), ("76_cone", "cone"), ("77_torus", "torus"), ("78_arrow", "arrow"), ("79_coordinate_frame", "coordinate_frame"), ("80_moebius", "moebius")):
-    query(f"io_{_id}")(lambda c, s=_shape: meshes.frames(c.spark, *getattr(meshes, s)())[0])
 query("io_84_sun_depth", "WITH w AS (SELECT img, v, u, trunc(c0 * 100)::INT AS d FROM pix) SELECT img, v, u, (((d >> 3) | (d << 13)) & 65535)::INT AS c0 FROM w")(lambda c: c.pix.select(*images.KEY, images.sun_depth((F.col("c0") * 100).cast("int")).alias("c0")))
 query("io_85_nyu_depth", f"WITH w AS (SELECT img, v, u, trunc(c0 * 100)::INT AS d FROM pix), s AS (SELECT img, v, u, 351.3 / (1092.5 - (((d >> 8) & 255) | ((d & 255) << 8))) AS d FROM w) SELECT img, v, u, {r('CASE WHEN d <= 0 OR d > 10 THEN 0.0 ELSE d END AS c0')} FROM s")(lambda c: c.pix.select(*images.KEY, images.nyu_depth((F.col("c0") * 100).cast("int")).alias("c0")))
 
@@ -385,12 +379,12 @@ query("io_85_nyu_depth", f"WITH w AS (SELECT img, v, u, trunc(c0 * 100)::INT AS
 
 CELLS = "cells AS (SELECT DISTINCT unnest(range(floor((x - 0.6) / 0.5)::INT, floor((x + 0.6) / 0.5)::INT + 1))::INT AS ix, iy, iz FROM (SELECT x, unnest(range(floor((y - 0.6) / 0.5)::INT, floor((y + 0.6) / 0.5)::INT + 1))::INT AS iy, iz FROM (SELECT x, y, unnest(range(floor((z - 0.6) / 0.5)::INT, floor((z + 0.6) / 0.5)::INT + 1))::INT AS iz FROM pts)))"
 TSDF = CELLS + """, mid AS (SELECT *, (ix + 0.5) * 0.5 AS x, (iy + 0.5) * 0.5 AS y, (iz + 0.5) * 0.5 + 4.0 AS d FROM cells), mid_uv AS (SELECT *, floor(x * 50 / d + 49.5)::INT AS u, floor(y * 50 / d + 49.5)::INT AS v FROM mid WHERE d > 0),
-img0 AS (SELECT v, u, c0 / 10 AS depth FROM pix WHERE img = 0 AND c0 > 0), vol AS (SELECT ix, iy, iz, least(1.0, (depth - d) / 0.6) AS tsdf, 1.0::DOUBLE AS weight FROM mid_uv JOIN img0 USING (v, u) WHERE depth - d > -0.6)"""
+img0 AS (SELECT v, u, c0 / 10 AS depth FROM pix WHERE c0 > 0), vol AS (SELECT ix, iy, iz, avg(least(1.0, (depth - d) / 0.6)) AS tsdf, count(*)::DOUBLE AS weight FROM mid_uv JOIN img0 USING (v, u) WHERE depth - d > -0.6 GROUP BY ix, iy, iz)"""
 
 
 def _volume(c: Inputs, before: DataFrame | None = None) -> DataFrame:
     cells = volumes.open_cells(c.xyz, 0.5, 0.6)
-    pixels = c.pix.where("img = 0").select("v", "u", (F.col("c0") / 10).alias("depth"))
+    pixels = c.pix.select("img", "v", "u", (F.col("c0") / 10).alias("depth"))
     return volumes.integrate(before, cells, pixels, K, CAM, 0.5, 0.6)
 
 
@@ -404,18 +398,26 @@ query(
     step AS (SELECT a.ix, a.iy, a.iz, axis::INT AS axis, abs(a.tsdf) / (abs(a.tsdf) + abs(b.tsdf)) * 0.5 AS s FROM near a, range(3) t(axis) JOIN near b ON b.ix = a.ix + (axis = 0)::INT AND b.iy = a.iy + (axis = 1)::INT AND b.iz = a.iz + (axis = 2)::INT WHERE a.tsdf * b.tsdf < 0)
     SELECT ix, iy, iz, axis, {r('(ix + 0.5) * 0.5 + CASE WHEN axis = 0 THEN s ELSE 0 END AS x', '(iy + 0.5) * 0.5 + CASE WHEN axis = 1 THEN s ELSE 0 END AS y', '(iz + 0.5) * 0.5 + CASE WHEN axis = 2 THEN s ELSE 0 END AS z')} FROM step""",
 )(lambda c: volumes.surface_points(_volume(c), 0.5))
-query(
-    "gr_23_distance_transform",
-    f"WITH seed AS (SELECT DISTINCT id * 7 % 12 AS sx, id * 5 % 12 AS sy, id * 11 % 12 AS sz FROM pts WHERE id < 9), cube AS (SELECT ix, iy, iz FROM range(12) a(ix), range(12) b(iy), range(12) d(iz)) SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, {r('sqrt(min((ix - sx) * (ix - sx) + (iy - sy) * (iy - sy) + (iz - sz) * (iz - sz))) AS distance')} FROM cube, seed GROUP BY ix, iy, iz",
-)(lambda c: volumes.distance_transform(c.xyz.where("id < 9").select(*[(F.col("id") * m % 12).cast("int").alias(k) for k, m in zip(voxels.KEYS, (7, 5, 11))]), 12).select(*voxels.KEYS, "distance"))
+#: Cells of a cube over the voxels' bounds, and the nearest voxel's distance by trying all.
+FIELD = "lim AS (SELECT min(ix) AS a, min(iy) AS b, min(iz) AS c, greatest(max(ix) - min(ix), max(iy) - min(iy), max(iz) - min(iz)) + 1 AS n FROM {cells}), cube AS (SELECT (a + i)::INT AS ix, (b + j)::INT AS iy, (c + k)::INT AS iz FROM lim, range(64) t(i), range(64) u(j), range(64) w(k) WHERE i < n AND j < n AND k < n), field AS (SELECT cube.ix, cube.iy, cube.iz, min((cube.ix - s.ix) * (cube.ix - s.ix) + (cube.iy - s.iy) * (cube.iy - s.iy) + (cube.iz - s.iz) * (cube.iz - s.iz)) AS d2 FROM cube, {cells} s GROUP BY ALL)"
+
+
+def _field(cells: DataFrame) -> DataFrame:
+    """The distance transform of voxels over a cube from their least keys on."""
+    low = cells.agg(*[f(k).alias(f"{n}{k}") for k in voxels.KEYS for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    n = max(low[f"hi{k}"] - low[f"lo{k}"] for k in voxels.KEYS) + 1
+    found = volumes.distance_transform(cells.select(*[(F.col(k) - low[f"lo{k}"]).alias(k) for k in voxels.KEYS]), n)
+    return found.select(*[(F.col(a + k[1]) + low[f"lo{k}"]).alias(a + k[1]) for k in voxels.KEYS for a in "in"], "distance")
+
+
+query("gr_23_distance_transform", f"WITH {FIELD.format(cells='vox')} SELECT ix, iy, iz, {r('sqrt(d2) AS distance')} FROM field")(lambda c: _field(c.vox).select(*voxels.KEYS, "distance"))
+query("gr_42_colour_axis", f"WITH {FIELD.format(cells='voxb')} SELECT ix, {r('sum(sqrt(d2)) AS total', places=3)} FROM field GROUP BY ix")(lambda c: _field(c.voxb).groupBy("ix").agg(F.round(F.sum("distance"), 3).alias("total")))
 query("ag_12_fpfh")(lambda c: features.fpfh(c.pts, 12).select("id", F.transform("feat", lambda x: F.round(x, 6)).alias("feat")))
 query(
     "io_66_lattice_edges",
     f"WITH n AS (SELECT (x * 25 + y * 5 + z) AS id, x, y, z FROM range(5) a(x), range(5) b(y), range(5) c(z)) SELECT a.id AS src, b.id AS dst, {r('sqrt((a.x - b.x) * (a.x - b.x) * 0.16 + (a.y - b.y) * (a.y - b.y) * 0.16 + (a.z - b.z) * (a.z - b.z) * 0.36) AS weight')} FROM n a JOIN n b ON a.id <> b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1",
 )(lambda c: planning.lattice(c.spark, (-1, -1, -1), (1, 1, 2), 5)[1])
 query("io_62_box_lines", "SELECT b AS src, b + (1 << i) AS dst FROM range(8) t(b), range(3) s(i) WHERE (b >> i) & 1 = 0")(lambda c: planning.box_line_set(c.spark, (0, 0, 0), (1, 1, 1))[1].select("src", "dst"))
-query("io_63_camera_marker")(lambda c: planning.camera_marker(c.spark, K, CAM, 100, 100)[0])
-query("io_64_square_grid")(lambda c: planning.square_grid(c.spark, 0.5, 4)[0])
 query("io_59_correspondence_lines", "SELECT id AS src, id + (SELECT max(id) + 1 FROM pts) AS dst FROM ptb")(lambda c: planning.correspondence_lines(c.xyz, c.ptb, c.ptb.select(F.col("id").alias("i"), F.col("id").alias("j")))[1])
 query("io_87_primitive_voxels", "SELECT x::INT AS ix, y::INT AS iy, z::INT AS iz FROM range(-6, 6) a(x), range(-6, 6) b(y), range(-6, 6) c(z) WHERE pow(x * 0.25 + 0.125, 2) + pow(y * 0.25 + 0.125, 2) + pow(z * 0.25 + 0.125, 2) <= 1")(lambda c: planning.primitive_voxels(c.spark, "sphere", (1.0,), np.eye(4), 0.25))
 OCC = "occ AS (SELECT ix, iy, iz, CASE WHEN (ix + iy + iz) % 3 = 0 THEN -0.4 ELSE 0.85 END::DOUBLE AS p FROM vox)"
@@ -453,7 +455,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register_more() -> None:
-    from . import more_queries  # noqa: F401  (registers on import)
+    from . import entry_queries, fusion_queries, more_queries, shape_queries  # noqa: F401  (they register on import)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -111,6 +111,59 @@ def read_image(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(parse, "path string, v int, u int, c0 double, c1 double, c2 double")
 
 
+def read_jpeg(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels (path, v, u, c0, c1, c2; red first) of .jpg files, by Spark's image source; gray ones have c0 only."""
+
+    def parse(batches):
+        for b in batches:
+            for x in b.itertuples(index=False):
+                a = np.frombuffer(bytes(x.data), np.uint8).reshape(x.height, x.width, x.nChannels)[:, :, ::-1]
+                v, u = np.divmod(np.arange(x.height * x.width), x.width)
+                cols = {f"c{i}": a[..., i].reshape(-1).astype(float) if i < x.nChannels else np.full(len(v), None) for i in range(3)}
+                yield pd.DataFrame({"path": x.origin, "v": v, "u": u, **cols}, index=range(len(v)))
+
+    images = spark.read.format("image").option("dropInvalid", True).load(path)
+    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(parse, "path string, v int, u int, c0 double, c1 double, c2 double")
+
+
+def _jpeg(spark: SparkSession, png: bytes, quality: int) -> bytes:
+    """A picture coded anew by the driver's Java runtime."""
+    jvm = spark._jvm
+    io = jvm.javax.imageio
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer = io.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setCompressionMode(io.ImageWriteParam.MODE_EXPLICIT)
+    how.setCompressionQuality(quality / 100)
+    stream = io.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, io.IIOImage(io.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(png))), None, None), how)
+    stream.close()
+    writer.dispose()
+    return bytes(out.toByteArray())
+
+
+def write_images(df: DataFrame, folder: str, width: int, height: int, kind: str = "png", depth: int = 8, quality: int = 90) -> None:
+    """A file <img>.png or <img>.jpg for each image of a table (img, v, u, c0 [, c1, c2]); images are coded where their rows are and pass through the driver one at a time."""
+    if kind not in ("png", "jpg"):
+        raise ValueError(f"no writer for .{kind}")
+    names = [c for c in ("c0", "c1", "c2") if c in df.columns]
+
+    def code(p: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((height, width, len(names)), np.uint16 if depth == 16 else np.uint8)
+        image[p["v"].to_numpy(int), p["u"].to_numpy(int)] = p[names].to_numpy()
+        return pd.DataFrame({"img": [p["img"].iloc[0]], "data": [formats.write_png(image)]})
+
+    for row in df.select("img", "v", "u", *names).groupBy("img").applyInPandas(code, "img long, data binary").toLocalIterator():
+        data = bytes(row["data"])
+        put(df.sparkSession, f"{folder}/{row['img']}.{kind}", data if kind == "png" else _jpeg(df.sparkSession, data, quality))
+
+
+def write_jpeg(df: DataFrame, path: str, width: int, height: int, quality: int = 90) -> None:
+    """One or three channels of 8 bits (v, u, c0 [, c1, c2])."""
+    put(df.sparkSession, path, _jpeg(df.sparkSession, formats.write_png(_image(df, width, height, 8)), quality))
+
+
 def put(spark: SparkSession, path: str, data: bytes) -> None:
     """Writes a file to any store that Spark reaches."""
     jvm = spark._jvm
@@ -164,11 +217,15 @@ def write_triangle_mesh(vertices: DataFrame, triangles: DataFrame, path: str, as
 
 
 def write_image(df: DataFrame, path: str, width: int, height: int, depth: int = 8) -> None:
+    put(df.sparkSession, path, formats.write_png(_image(df, width, height, depth)))
+
+
+def _image(df: DataFrame, width: int, height: int, depth: int) -> np.ndarray:
     names = [c for c in ("c0", "c1", "c2") if c in df.columns]
     rows = df.select("v", "u", *names).toPandas()
     image = np.zeros((height, width, len(names)), np.uint16 if depth == 16 else np.uint8)
     image[rows["v"], rows["u"]] = rows[names].to_numpy()
-    put(df.sparkSession, path, formats.write_png(image))
+    return image
 
 
 def write_voxel_grid(df: DataFrame, path: str, size: float, origin=(0.0, 0.0, 0.0), ascii: bool = False) -> None:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.voxels import HIGH, HIT, KEYS, LOW, MISS
+from ..plans.lineage import folder
 
 
 def scan_ring(stream: DataFrame, capacity: int, key: str = "sensor") -> DataFrame:
@@ -43,6 +46,35 @@ def occupancy(stream: DataFrame) -> DataFrame:
     return stream.groupBy(*KEYS).applyInPandasWithState(step, "ix int, iy int, iz int, prob_log double", "p double", "update", GroupStateTimeout.NoTimeout)
 
 
+def distances(stream: DataFrame) -> DataFrame:
+    """The running mean of each voxel's truncated distances (ix, iy, iz, tsdf) after each batch, and how many there were."""
+
+    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, n = state.get if state.exists else (0.0, 0)
+        for p in batches:
+            total, n = total + float(p["tsdf"].sum()), n + len(p)
+        state.update((total, n))
+        yield pd.DataFrame({**dict(zip(KEYS, ([v] for v in k))), "tsdf": [total / n], "weight": [float(n)]})
+
+    return stream.groupBy(*KEYS).applyInPandasWithState(step, "ix int, iy int, iz int, tsdf double, weight double", "total double, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def settled(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last row that a stream of updates had for each key once all its input was read: each batch goes to the checkpoint folder with its number."""
+    spark = updates.sparkSession
+    path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = updates.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    query = query.foreachBatch(lambda df, number: df.withColumn("batch__", F.lit(number)).write.mode("append").parquet(f"{path}/rows")).start()
+    query.awaitTermination()
+    names = [f.name for f in updates.schema if f.name not in keys]
+    try:
+        rows = spark.read.parquet(f"{path}/rows")
+    except AnalysisException:  # no input, no batch
+        return spark.createDataFrame([], updates.schema)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch__").alias("last"))
+    return last.select(*keys, "last.*").select(*updates.columns)
+
+
 def windowed(stream: DataFrame, time: str, value: str, width: str, late: str, *keys: str) -> DataFrame:
     """Number and mean of values in windows of event time; what is later than `late` is left out."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
