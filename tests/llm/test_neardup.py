@@ -86,3 +86,27 @@ def test_query_is_brute_force(spark):
     sizes, own = brute(rows)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in queries.op7_neardup(spark, sf).collect()}
     assert got == {i: (sizes[i], own[i], own[i] == i) for i, _ in rows}
+
+
+def test_a_large_family_with_changes_all_over(spark):
+    """Documents that share most shingles with a common ancestor, and many of them too few with one another."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(3)] = [f"v{rng.randrange(40)}" for _ in range(rng.randrange(1, 4))]
+        rows.append((i, " ".join(words)))
+    _, of = brute(rows)
+    got = {r["id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == of
+    assert 5 < len(set(of.values())) < 150
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60000))
+    rows = [(1, long), (2, long + " end"), (3, "w1 " * 60000), (4, long[: len(long) // 2])]
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("set", F.lit(1))).collect()}
+    assert got[1] == (59996, 1) and got[2] == (59997, 1) and got[3] == (1, 3) and got[4][1] == 4

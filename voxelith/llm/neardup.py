@@ -9,11 +9,15 @@ all pairs within the distance share a key. At similarity 0.75 a pair is farther
 Pairs are not enumerated within a key. First each class is compared with one class of each of its keys, the one that shares the most
 keys with others and, of these, has the fewest shingles of its own (of a family of copies, the one that was changed least), and the confirmed links are contracted to components. What
 can still be missing are links between components: only in keys whose members are in several components, the members outside the
-first one's component are compared with the members of other components. Two exact bounds rule out nearly all of these pairs. A
-class's shingles that no other class concerned has cannot be in any intersection. And both classes of a pair were compared with
-the key's chosen class: inside of it they differ by at least the difference of what they share with it; what either has
-outside of it is carried along as short hashes where it is little, and what these have in common bounds what both have.
-Candidates also pass the bounds on sizes and on the signatures' distance, then the full sets decide.
+chosen class's component are compared with the members of other components, once for each chosen class. Two exact bounds rule out nearly all of
+these pairs. A class's shingles that no other class concerned has cannot be in any intersection. And both classes of a pair were
+compared with the chosen class: what either lacks of it, and what either has beyond it, is carried along as short hashes where it is little. The
+chosen class's size less what either lacks, and what both have beyond it, add up to the intersection's size (short hashes
+that meet by chance only raise it), so that only pairs that are linked, but for such chances, are made at all. Where more is lacking, the
+shares in the chosen class bound the intersection. Pairs that are made pass the bounds on sizes and signatures, then the full sets decide.
+
+Null and empty texts have an empty set and stand alone; very long texts are taken whole; an empty table gives an empty one. Of classes equally
+fit to be chosen the one with the least number is. Extra columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ CHOICES = [tuple(c * WIDTH + p for p in own) for c in range(CHUNKS) for own in i
 _FACTORS = odd_numbers(POSITIONS, 71)
 _SEEDS = odd_numbers(POSITIONS, 73)
 _STRIDE = 1 << 13
-#: Shingles beyond the chosen class that are carried along; with more, a weaker bound is used.
-CARRIED = 96
+#: Shingles lacking in, or beyond, the chosen class that are carried along; with more, a weaker bound is used.
+CARRIED = 128
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -143,31 +147,40 @@ def alone_counts(sets: DataFrame) -> DataFrame:
     return once.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared, beyond, linked) of the pairs that sizes and signatures allow.
+def _short(own: np.ndarray, other: np.ndarray, count: int) -> np.ndarray | None:
+    """32 bits of each shingle of own that other has not; null if they are more than CARRIED, or two have the same 32 bits."""
+    if count > CARRIED:
+        return None
+    found = np.unique(np.setdiff1d(own, other, assume_unique=True).astype(np.uint32).view(np.int32))
+    return found if len(found) == count else None
 
-    The intersection's size, 32 bits of each of b's other shingles (null if they are more than CARRIED, or two have the same 32 bits), and whether
-    100 * intersection >= percent * union.
+
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, near_only: bool = True) -> DataFrame:
+    """(a, b, shared, beyond, lacking, linked) of the pairs, or of those that sizes and signatures allow.
+
+    The intersection's size, short hashes of what b has beyond a and of what b lacks of a, and whether 100 * intersection >= percent * union.
     """
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
-    pairs = pairs.where(_near(percent)).select("a", "b")
+    if near_only:
+        for side in ("a", "b"):
+            pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
+        pairs = pairs.where(_near(percent)).select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            shared, beyond, linked = [], [], []
+            shared, beyond, lacking, linked = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = np.sort(np.concatenate([p, q]), kind="stable")
                 n = int(np.count_nonzero(both[1:] == both[:-1]))
                 shared.append(n)
-                more = np.unique(np.setdiff1d(q, p, assume_unique=True).astype(np.uint32).view(np.int32)) if len(q) - n <= CARRIED else None
-                beyond.append(more if more is not None and len(more) == len(q) - n else None)
+                beyond.append(_short(q, p, len(q) - n))
+                lacking.append(_short(p, q, len(p) - n))
                 linked.append(100 * n >= percent * (len(p) + len(q) - n))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), pa.array(beyond, pa.list_(pa.int32())), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "beyond", "linked"])
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (beyond, lacking)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), *lists, pa.array(linked, pa.bool_())], names=["a", "b", "shared", "beyond", "lacking", "linked"])
 
     full = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
-    return saved(full.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, shared long, beyond array<int>, linked boolean"))
+    return saved(full.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, shared long, beyond array<int>, lacking array<int>, linked boolean"))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -190,7 +203,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     ranked = members.join(held, "rep").groupBy("key").agg(best.alias("m"))
     members = saved(members.join(ranked.select("key", (-F.col("m.low")).alias("first")), "key"))
     stars = members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    compared = verified(stars, classes, sets, percent)
+    compared = verified(stars, classes, sets, percent, near_only=False)
     links = compared.where("linked").select("a", "b")
 
     of = saved(components(links)) if not links.isEmpty() else None
@@ -200,25 +213,24 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         placed = members.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = saved(placed.select("key", "first", "rep", "component"))
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max(F.when(F.col("rep") == F.col("first"), F.col("component"))).alias("main")).where("p < q").select("key", "main")
-    some = saved(placed.join(mixed_keys, "key").select("key", "first", "rep", "component", (F.col("component") != F.col("main")).alias("minor")))
+    some = placed.join(mixed_keys, "key").select("first", "rep", "component", (F.col("component") != F.col("main")).alias("minor")).distinct()
     # what no partner of any size could make up for is out: intersection <= s, union >= n
     able = some.join(held.where(F.col("s") * 100 >= F.col("n") * percent).select("rep", "n", "s"), "rep")
-    with_first = compared.select(F.col("a").alias("first"), F.col("b").alias("rep"), F.col("shared").alias("i"), F.col("beyond").alias("e"))
-    own = F.col("rep") == F.col("first")
-    able = able.join(with_first, ["first", "rep"], "left").withColumns({"i": F.when(own, F.col("n")).otherwise(F.col("i")), "e": F.when(own, F.array().cast("array<int>")).otherwise(F.col("e"))})
-    able = saved(able.drop("first"))
-    x = able.where("minor").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("i").alias("i_a"), F.col("e").alias("e_a"))
-    y = able.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("i").alias("i_b"), F.col("e").alias("e_b"), "minor")
-    most = F.least("s_a", "s_b")
-    fits = (F.col("ca") != F.col("cb")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
-    # the symmetric difference: outside of the key's first class at least what cannot be common, inside at least the difference
-    apart = (F.col("n_a") - F.col("i_a")) + (F.col("n_b") - F.col("i_b")) + F.abs(F.col("i_a") - F.col("i_b"))
-    limit = (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    weak = (apart - 2 * F.least(F.col("s_a") - F.col("i_a"), F.col("s_b") - F.col("i_b"))) * (100 + percent) <= limit
-    sharp = F.when(F.col("e_a").isNull() | F.col("e_b").isNull(), F.lit(True)).otherwise((apart - 2 * F.size(F.array_intersect("e_a", "e_b"))) * (100 + percent) <= limit)
-    fits = fits & F.coalesce(weak, F.lit(True)) & F.coalesce(sharp, F.lit(True))
-    # what was compared in the first round need not be compared again, but does no harm
-    rest = x.join(y, "key").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    with_first = compared.select(F.col("a").alias("first"), F.col("b").alias("rep"), F.col("shared").alias("i"), F.col("beyond").alias("e"), F.col("lacking").alias("m"))
+    sizes = classes.select(F.col("rep").alias("first"), F.col("n").alias("n_first"))
+    able = saved(able.where("first <> rep").join(with_first, ["first", "rep"]).join(sizes, "first"))
+    numbers = ["n", "s", "i", "e", "m"]
+    x = able.where("minor").select("first", "n_first", F.col("rep").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in numbers])
+    y = able.select("first", F.col("rep").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"{c}_b") for c in numbers], "minor")
+    different = (F.col("ca") != F.col("cb")) & (~F.col("minor") | (F.col("a") < F.col("b")))
+    enough = lambda most: most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
+    outside = F.least(F.col("s_a") - F.col("i_a"), F.col("s_b") - F.col("i_b"))
+    inside = F.least("i_a", "i_b")
+    both_beyond = F.when(F.col("e_a").isNull() | F.col("e_b").isNull(), outside).otherwise(F.size(F.array_intersect("e_a", "e_b")))
+    both_inside = F.when(F.col("m_a").isNull() | F.col("m_b").isNull(), inside).otherwise(F.col("n_first") - F.size(F.array_union("m_a", "m_b")))
+    fits = different & enough(F.least("s_a", "s_b")) & enough(inside + outside) & enough(both_inside + both_beyond)
+    # pairs with the chosen class itself were compared in the first round
+    rest = x.join(y, "first").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = verified(rest, classes, sets, percent).where("linked").select("a", "b")
     if not more.isEmpty():
         of = saved(components(links.unionByName(more)))
