@@ -83,3 +83,14 @@ def test_query_is_brute_force(spark):
     want = brute([r["text"] for r in rows], 35)
     assert got == {r["doc_id"]: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for r, (n, gone, kept) in zip(rows, want)}
     assert split("a b") == [b"a", b"b"]
+
+
+def test_columns_may_have_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, None)], "doc_id long, text string")
+    names = ["id", "ID__", "other__", "own_id__", "other_id__", "other_key__", "text_key", "text_key__", "Places__", "anchor", "start"]
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    got = {r["doc_id"]: r for r in substrings.dedup(df, window=8).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {1: "", 2: "more", 3: ""}
+    assert all(r[n] == n for r in got.values() for n in names)

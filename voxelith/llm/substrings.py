@@ -12,7 +12,8 @@ its anchor (name and context) is. Consecutive windows with one anchor are an ins
 what is alone is unique; where all instances of an anchor are the same word sequence, all their windows are repeated; the windows of the
 other instances are counted one by one, each different instance once.
 
-Null texts have no words. Documents are rows with equal id and text: repeated rows count as places of their own, and lose the same words. Words are
+Null and empty texts have no words, texts of less than `window` words no windows; very long ones are taken whole; empty tables give empty ones. Extra columns
+stay, whatever they are called, but those named like a result are replaced. Documents are rows with equal id and text: repeated rows count as places of their own, and lose the same words. Words are
 compared by 64-bit hashes and windows by 128 bits.
 """
 
@@ -211,15 +212,17 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
 
 def _with(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """rows joined with lists by id and text_key, nulls included."""
-    right = lists.select(F.col("id").alias("id__"), F.col("text_key").alias("text_key__"), *[c for c in lists.columns if c not in ("id", "text_key")])
-    return rows.join(right, rows["id"].eqNullSafe(right["id__"]) & (rows["text_key"] == right["text_key__"]), how).drop("id__", "text_key__")
+    right = lists.select(F.col("id").alias("other_id"), F.col("text_key").alias("other_key"), *[c for c in lists.columns if c not in ("id", "text_key")])
+    return rows.join(right, rows["id"].eqNullSafe(right["other_id"]) & (rows["text_key"] == right["other_key"]), how).drop("other_id", "other_key")
 
 
 def repeated(df: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, start, n): n consecutive windows from start on that all stand elsewhere too."""
     rows = _rows(df, id_col, text_col)
     found = saved(_instances(rows, window))
-    by_anchor = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("span").alias("low"), F.max("span").alias("high")).where("all > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
+    by_anchor = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("span").alias("low"), F.max("span").alias("high")).where("all > 1")
+    # written first, so that a hot anchor's part of the join can be split
+    by_anchor = saved(by_anchor.select("anchor", (F.col("low") == F.col("high")).alias("alike")))
     shared = saved(found.join(by_anchor, "anchor"))
     place = F.struct("id", "text_key", "start", "n")
     kinds = saved(shared.where("not alike").groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("all"), F.min(place).alias("place")))
@@ -249,10 +252,10 @@ def dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str
     own = dropped(df, words_col, removed_col, spans_col)
     names = [c for c in own.columns if c != text_col and (keep is None or c in keep)]
     lists = repeated(own, window, id_col, text_col).groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-    key, text, places = (free_name(own, x) for x in ("text_key__", "text__", "places__"))
-    lists = lists.select(F.col("id").alias("id__"), F.col("text_key").alias("other__"), F.col("places").alias(places))
-    left = own.select(*names, F.col(id_col).alias("own_id__"), F.xxhash64(F.col(text_col).cast("string")).alias(key), F.col(text_col).cast("string").alias(text))
-    both = left.join(lists, F.col("own_id__").eqNullSafe(F.col("id__")) & (F.col(key) == F.col("other__")), "left").select(*names, text, places)
+    key, text, places, id_, other_id, other_key = (free_name(own, x) for x in ("text_key__", "text__", "places__", "id__", "other_id__", "other_key__"))
+    lists = lists.select(F.col("id").alias(other_id), F.col("text_key").alias(other_key), F.col("places").alias(places))
+    left = own.select(*names, F.col(id_col).alias(id_), F.xxhash64(F.col(text_col).cast("string")).alias(key), F.col(text_col).cast("string").alias(text))
+    both = left.join(lists, F.col(id_).eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)), "left").select(*names, text, places)
     spans = T.ArrayType(T.ArrayType(T.IntegerType()))
     schema = T.StructType([*[own.schema[c] for c in names], T.StructField(text_col, T.StringType()), T.StructField(words_col, T.LongType()), T.StructField(removed_col, T.LongType()), T.StructField(spans_col, spans)])
 
