@@ -30,7 +30,7 @@ def brute(text):
 
 
 def hexed(v):
-    return "".join(f"{x:08x}" for x in v[0]) + "".join(f"{x % 65536:04x}" for x in v[1])
+    return "".join(f"{x:08x}" for x in v[0]) + "".join(f"{x % (1 << 32):08x}" for x in v[1])
 
 
 def like(a, b):
@@ -89,3 +89,23 @@ def test_paragraphs_come_and_go(spark):
         (fp.hexed(F.col("v_whole")) != fp.hexed(F.col("v_more"))).alias("counts"),
     ).first()
     assert all(r)
+
+
+def test_ids_of_any_type_and_many_rows_without_one(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_BYTES", 500)
+    rows = [(f"id {i:03d}" if i % 3 else None, f"text {i}, of some length\n{'word ' * (i % 11)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("mark__", F.lit(1)).withColumn("range__", F.lit(2)).repartition(5)
+    got = fp.with_next(df, "doc_id", ["text"]).collect()
+    assert len(got) == 200 and set(got[0].asDict()) == {"doc_id", "text", "mark__", "range__", "next_text"}
+    mark = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64) - (1 << 63)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", mark(r[1])))
+    want = {a: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    assert {(r["doc_id"], r["text"]): r["next_text"] for r in got} == want
+    assert len(fp.edited_by_next(df).collect()) == 200
+
+
+def test_many_equal_clauses_keep_their_direction(spark):
+    df = spark.createDataFrame([("a," * 40000 + "b", "a," * 41000 + "b")], "x string, y string")
+    for c in df.columns:
+        df = fp.with_vector(df, F.col(c), f"v_{c}")
+    assert df.select(fp.likeness(F.col("v_x"), F.col("v_y"))).first()[0] > 0.99
