@@ -2,11 +2,15 @@
 
 Templates and documents are words (letters, digits, dots within numbers apart; lower case). Each template's k-grams are winnowed: of
 every WINDOW consecutive ones the least hash is a fingerprint, so that any run of GRAM + WINDOW - 1 words that a document shares with a
-template has a fingerprint in common. An inverted index of the fingerprints gives candidates (template, diagonal); a banded alignment
-around the diagonals then counts the matched words. A notice is reported if the matched words are at least `coverage` of the template's;
-of overlapping notices the one with the most matched words stays.
-
-The templates are a fixed short list that goes to each worker. Null and empty documents hold nothing; repeated rows give repeated rows.
+template has a fingerprint in common (of templates under SHORT words every k-gram is one). An inverted index of the fingerprints gives candidates
+(template, diagonal); around a diagonal with as many hits as a notice must have (`least_hits`) a banded alignment counts the matched words, in
+numpy rows of the whole band. Each diagonal is aligned by itself, however many there are, so that notices side by side are all found. A notice
+is reported if the matched words are at least `coverage` of the template's. Of overlapping notices the one with the most matched words stays; ties go to the
+larger share, then the earlier start, the later end, and the template that stands later in the list.
+
+The templates are full texts of short licenses (`license_texts`) and usual notices of these and of longer ones, which are fragments; `read_templates` takes
+more from a folder. They go to each worker. Null and empty documents and empty tables hold nothing; very long texts are scanned whole; repeated rows give
+repeated rows. Only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .license_texts import FULL
 from .tokens import blocks, mixed, odd_numbers, released
 
-GRAM, WINDOW = 3, 2
+GRAM, WINDOW, SHORT = 3, 2, 8
 _words = re.compile(r"\w+")
 _K = odd_numbers(GRAM, 37)
 
 #: Names and notices.
-TEMPLATES = {
+NOTICES = {
     "MIT": [
         "Released under the MIT License",
         "Licensed under the MIT License",
@@ -74,8 +80,25 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
 }
 
-#: With notices that grant nothing.
-ALL_TEMPLATES = TEMPLATES | {"All-Rights-Reserved": ["All rights reserved"]}
+#: Notices that grant nothing.
+RESERVED = {"All-Rights-Reserved": ["All rights reserved"]}
+
+
+def merged(*parts: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Notices by license name, those of later parts last."""
+    out: dict[str, list[str]] = {}
+    for part in parts:
+        for name, notices in part.items():
+            out.setdefault(name, []).extend(notices)
+    return out
+
+
+TEMPLATES = merged(NOTICES, RESERVED, {name: [text] for name, text in FULL.items()})
+
+
+def read_templates(folder: str) -> dict[str, list[str]]:
+    """A template from each file of a folder that the driver sees, named like the file."""
+    return {f.name.removesuffix(".txt"): [f.read_text(errors="replace")] for f in sorted(Path(folder).iterdir()) if f.is_file()}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -100,30 +123,41 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(windows)) + last)
 
 
-def align(template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """Most words of the template that can be matched in order with place in words less place in the template from low to high; the first and last matched places.
 
-    Of alignments with equally many matches the shortest counts.
+    Of alignments with equally many matches the one that starts last counts, then the one that ends first. Words are numbers; 0 matches nothing.
     """
-    worst = (0, 0, 0)
-    # best by diagonal: matches, then the latest start, then the earliest end (as -end)
-    row: dict[int, tuple[int, int, int]] = {}
-    for i, w in enumerate(template):
-        new: dict[int, tuple[int, int, int]] = {}
-        carried = worst
-        for d in range(low, high + 1):
-            j = i + d
-            # one template word on, the place in words stays: the diagonal above
-            best = max(carried, row.get(d + 1, worst))
-            if 0 <= j < len(words) and words[j] == w:
-                before = row.get(d, worst)
-                own = (before[0] + 1, before[1] if before[0] else j, -j)
-                best = max(best, own)
-            new[d] = best
-            carried = best  # one more word of the document: the next diagonal of this row
-        row = new
-    n, start, end = max(row.values(), default=worst)
-    return n, start, -end + 1 if n else 0
+    m, width = len(template), high - low + 1
+    # what the band can reach of the words; place j is j - low here
+    own = np.zeros(m + width, np.int64)
+    a, b = max(0, low), min(len(words), low + m + width - 1)
+    if a >= b:
+        return 0, 0, 0
+    own[a - low : b - low] = words[a:b]
+    bits = len(own).bit_length()
+    if 3 * bits > 62:
+        raise ValueError("template and band are too long")
+    # best by diagonal in one number: matches, start, and how far the end lies before the last place
+    last, one = len(own), 1 << 2 * bits
+    places = np.arange(len(own))
+    row, up = np.zeros(width, np.int64), np.zeros(width, np.int64)
+    for i, w in enumerate(template.tolist()):
+        # one template word on, the place in words stays: the diagonal above
+        up[:-1] = row[1:]
+        at = places[i : i + width]
+        more = np.where(row == 0, one | (at << bits), (row + one) >> bits << bits) | (last - at)
+        # then words of the document are passed over
+        row = np.maximum.accumulate(np.where(own[i : i + width] == w, np.maximum(up, more), up)) if w else np.maximum.accumulate(up)
+    best = int(row.max())
+    n, start, end = best >> 2 * bits, best >> bits & (1 << bits) - 1, last - (best & (1 << bits) - 1)
+    return (n, start + low, end + low + 1) if n else (0, 0, 0)
+
+
+def least_hits(m: int, coverage: float) -> int:
+    """Fingerprints that a notice of m words shares at least: unmatched words part it, and only runs of GRAM words may have none."""
+    missing = m - int(np.ceil(coverage * m - 1e-9))
+    return max(1, (m - missing - (GRAM + WINDOW - 2) * (missing + 1) + 1) // 2)
 
 
 class Index:
@@ -140,11 +174,12 @@ class Index:
                 self.names.append(name)
                 self.words.append(words)
                 hashes = grams(np.array([self.known[w] for w in words], np.uint64))
-                for p in winnowed(hashes).tolist():
+                for p in winnowed(hashes).tolist() if len(words) >= SHORT else range(len(hashes)):
                     self.places[int(hashes[p])].append((number, p))
         self.keys = np.array(sorted(self.places), np.uint64)
         # a notice this short may stand where no window of the document chooses its fingerprint
-        self.short = np.array([h for h, at in self.places.items() if any(len(self.words[t]) < GRAM + WINDOW - 1 for t, _ in at)], np.uint64)
+        self.short = np.array([h for h, at in self.places.items() if any(len(self.words[t]) < SHORT for t, _ in at)], np.uint64)
+        self.numbers = [np.array([self.known[w] for w in words], np.int64) for words in self.words]
 
     def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place, template, place in the template) of each fingerprint that a document shares."""
@@ -164,23 +199,19 @@ class Index:
         words = words_of(text)
         get = self.known.get
         numbers = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        near: dict[int, set[int]] = defaultdict(set)
+        near: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, template, place in self.candidates(numbers):
-            near[template].add(p - place)
+            near[template].append((p - place, p))
         found = []
-        for template, diagonals in near.items():
-            own = self.words[template]
-            band = max(2, len(own) // 5)
-            bands: list[list[int]] = []
-            for d in sorted(diagonals):
-                if bands and d - band <= bands[-1][1]:
-                    bands[-1][1] = d + band
-                else:
-                    bands.append([d - band, d + band])
-            for low, high in bands:
-                # far apart notices of one kind have bands of their own; close ones share theirs, one diagonal each in turn
-                for a, b in [(low, high)] if high - low <= 4 * band else [(d - band, d + band) for d in sorted(diagonals) if low <= d <= high]:
-                    n, start, end = align(own, words, a, b)
+        for template, hits in near.items():
+            own = self.numbers[template]
+            band, least = max(2, len(own) // 5), least_hits(len(own), coverage)
+            hits.sort()
+            diagonals = np.array([d for d, _ in hits])
+            for d in sorted(set(diagonals.tolist())):
+                a, b = np.searchsorted(diagonals, [d - band, d + band + 1])
+                if b - a >= least and len({p for _, p in hits[a:b]}) >= least:
+                    n, start, end = align(own, numbers.astype(np.int64), d - band, d + band)
                     if n >= coverage * len(own):
                         found.append((n, n / len(own), -start, end, template))
         taken: list[tuple[int, int]] = []

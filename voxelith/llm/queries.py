@@ -64,12 +64,6 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "license", "coverage", "matched", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
 
 
-def op6_licenses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op6_licenses, with reserved rights."""
-    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.ALL_TEMPLATES)
-    return found.select(F.col("id").alias("doc_id"), "license", "coverage", "matched", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
-
-
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of near-duplicates."""
     found = neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=5, percent=75)
@@ -114,7 +108,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substrings": op4_substrings,
         "op5_fingerprint": op5_fingerprint,
         "op6_licenses": op6_licenses,
-        "op6_licenses_all": op6_licenses_all,
         "op7_neardup": op7_neardup,
         "op8_shards": op8_shards,
         "op9_urls": op9_urls,
