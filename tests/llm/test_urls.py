@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -76,3 +77,39 @@ def test_every_tag_of_a_page_counts(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert urls.links(df).count() == 4
     assert {r["page_id"]: r["verdict"] for r in urls.judge(df, RULES).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_random_link_graphs_are_union_find(spark):
+    """Chains, cycles, hubs and mixes of rules; verdicts by a plain union-find over all tags."""
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        names = [f"http://h{i}.xyz/p" for i in range(120)] + [f"http://{h}{p}" for h, p in (("x.com", "/en/1"), ("example.com", "/en/7"), ("q.net", "/de/1"), ("example.net", "/de/8"), ("r.org", "/es/2"), ("r.org", "/fr/2"))]
+        rows, edges = [], []
+        for i, u in enumerate(names + names[:5]):
+            tags = ""
+            for _ in range(rng.choice([0, 0, 1, 1, 1, 2])):
+                v = rng.choice(names[-8:] if rng.random() < 0.08 else names[max(0, i % len(names) - 6) : i % len(names) + 3])
+                edges.append((u, v))
+                tags += rng.choice([f"<link rel='canonical' href='{v}'>", f'<meta http-equiv=refresh content="3;url={v}">'])
+            rows.append((i, u, f"<head>{tags}</head>"))
+        root = {u: u for u in names}
+
+        def find(u):
+            while root[u] != u:
+                u = root[u]
+            return u
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        held = {}
+        for u in names:
+            if rule := brute_rule(*brute_parts(u)):
+                held.setdefault(find(u), set()).add(rule.verdict)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, RULES).collect()}
+        assert len(got) == len(rows)
+        for i, u, _ in rows:
+            own, group = brute_rule(*brute_parts(u)), held.get(find(u), set())
+            want = own.verdict if own else "allow" if "allow" in group or not group else "block"
+            assert got[i] == (own and own.name, want), u
+        assert {"allow", "block"} <= {v for _, v in got.values()}
