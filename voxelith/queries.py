@@ -455,7 +455,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register_more() -> None:
-    from . import entry_queries, fusion_queries, more_queries, shape_queries  # noqa: F401  (they register on import)
+    from . import entry_queries, fusion_queries, more_queries, more_sql, shape_queries  # noqa: F401  (they register on import)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
