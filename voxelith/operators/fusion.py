@@ -91,6 +91,7 @@ def raycast(volume: DataFrame, k: np.ndarray, extrinsic: np.ndarray, width: int,
     enter, leave = _span(eye, [F.col(f"r{c}") for c in XYZ], low, high)
     step = trunc / 2
     rays = rays.withColumns({"from": F.greatest(enter, F.lit(0.0)) + size, "till": leave}).where("till > from")
+    rays = cut(rays.select("v", "u", "rx", "ry", "rz", "from", "till"))  # plain columns from here on: the expressions would be repeated in each use
     samples = rays.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("till") - F.col("from")) / step).cast("int"))))
     at = F.col("from") + F.col("i") * step
     samples = samples.withColumns({key: F.floor((p + F.col(f"r{c}") * at - float(o)) / size).cast("int") for key, c, p, o in zip(KEYS, XYZ, eye, origin)})
@@ -100,7 +101,7 @@ def raycast(volume: DataFrame, k: np.ndarray, extrinsic: np.ndarray, width: int,
     first = seen.groupBy("v", "u").agg(F.min(F.struct("i", "t0", "tsdf")).alias("c")).where("c.t0 > 0")
     along = F.col("from") + (F.col("c.i") - 1) * step - step * F.col("c.t0") / (F.col("c.tsdf") - F.col("c.t0"))
     hit = first.join(rays, ["v", "u"]).select("v", "u", *[(p + F.col(f"r{c}") * along).alias(c) for c, p in zip(XYZ, eye)])
-    hit = hit.withColumn("id", F.col("v").cast("long") * width + F.col("u"))
+    hit = cut(hit.withColumn("id", F.col("v").cast("long") * width + F.col("u")))
     return hit.join(normals_at(hit, volume, size, origin, 1.0), "id").where("nx is not null").select("v", "u", *XYZ, *NORMAL)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components as connected
 from ..plans.lineage import cut
 from ..plans.spatial import XYZ, radius_join
 
@@ -97,32 +98,33 @@ def shortest_paths(edges: DataFrame, start: int, end: int | None = None, rounds:
 
 def shortest_path(edges: DataFrame, start: int, end: int) -> tuple[list[int], float]:
     """Nodes from start to end and the length; no nodes and infinity if there is no way."""
-    found = shortest_paths(edges, start, end).persist()
+    found = cut(shortest_paths(edges, start, end))
     last = found.where(F.col("id") == end).first()
     if last is None:
         return [], float("inf")
-    path, now = [end], last["prev"]
+    # jumps of 1, 2, 4 ... nodes back, until the end's leads out of the path: as many joins as the logarithm of the path's length
+    jumps = [found.where("prev <> -1").select("id", "prev")]
+    while True:
+        step = jumps[-1]
+        far = cut(step.join(step.select(F.col("id").alias("prev"), F.col("prev").alias("further")), "prev").select("id", F.col("further").alias("prev")))
+        if far.where(F.col("id") == end).isEmpty():
+            break
+        jumps.append(far)
+    on = edges.sparkSession.createDataFrame([(end,)], "id long")
+    for jump in jumps[::-1]:
+        on = cut(on.unionByName(jump.join(on, "id", "left_semi").select(F.col("prev").alias("id"))).distinct())
+    before = {r["id"]: r["prev"] for r in found.join(on, "id", "left_semi").collect()}  # the path itself, which is the result
+    path, now = [end], before[end]
     while now != -1:
         path.append(now)
-        now = found.where(F.col("id") == now).first()["prev"]
+        now = before[now]
     return path[::-1], last["dist"]
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(id, component): the least id that can be reached; each round every node takes the least label around, and then its label's label."""
-    pairs = both_ways(edges.select("src", "dst").where("src <> dst")).persist()
-    label = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(rounds):
-        around = pairs.join(label, pairs["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("m"))
-        new = label.join(around, label["id"] == around["src"], "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = new.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = new.join(jump, "component").select("id", F.col("further").alias("component"))
-        new = cut(new)
-        settled = new.join(label.withColumnRenamed("component", "was"), "id").where("component <> was").isEmpty()
-        label = new
-        if settled:
-            return label
-    raise RuntimeError("the labels did not settle")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that can be reached."""
+    found = connected(edges, "src", "dst").select(F.col("node").alias("id"), "component")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def cluster_dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
