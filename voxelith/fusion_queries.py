@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import more_queries as m
 from . import queries as q
 from .functions import linalg
-from .operators import alignment, features, fusion, images, lattice, points, registration, stereo
+from .operators import alignment, features, fusion, images, lattice, points, registration, stereo, volumes
 from .operators.voxels import KEYS
 from .plans.lineage import cut
 from .plans.spatial import XYZ
@@ -85,8 +85,6 @@ query("sm_07_pose")(_pose_of_second)
 
 
 def _model(c: Inputs) -> DataFrame:
-    from .operators import volumes
-
     state, _ = _fused(c)
     return volumes.surface_points(state.volume, state.size)
 
@@ -190,3 +188,21 @@ NORMALS = f"WITH {q.KNN.format(q='ptb', t='pts')}, g AS (SELECT p.x AS px, p.y A
 query("ag_16_jtj", f"{NORMALS} SELECT a::INT AS i, b::INT AS j, round(sum(j.j[a + 1] * j.j[b + 1]), 6) + 0.0 AS value FROM j, range(6) s(a), range(6) t(b) GROUP BY a, b")(lambda c: numbers(c.spark, registration.jtj(registration.correspondences(c.ptb, c.pts, 1.0, normals=True), registration.plane_rows())[0]))
 INFORMATION = f"WITH {q.KNN.format(q='ptb', t='pts')}, g AS (SELECT t.x, t.y, t.z FROM k JOIN pts t ON t.id = k.t WHERE rn = 1 AND d2 < 0.25), j AS (SELECT unnest([[0, z, -y, 1, 0, 0], [-z, 0, x, 0, 1, 0], [y, -x, 0, 0, 0, 1]]) AS j FROM g)"
 query("ag_48_information", f"{INFORMATION} SELECT a::INT AS i, b::INT AS j, round(sum(j.j[a + 1] * j.j[b + 1]), 6) + 0.0 AS value FROM j, range(6) s(a), range(6) t(b) GROUP BY a, b")(lambda c: numbers(c.spark, registration.information_matrix(registration.correspondences(c.ptb, c.xyz, 0.5))))
+
+# Pixel pairs, volumes of two passes, pyramids
+
+query("jn_31_nearest_pixel", f"WITH {m.PIXEL_PAIRS} SELECT img, tu, tv, round(min(z), 6) + 0.0 AS z FROM j GROUP BY img, tu, tv")(lambda c: m._pixels(c).select("img", "tu", "tv", "z"))
+query("jn_32_merged_pairs", f"WITH {m.PIXEL_PAIRS} SELECT img, count(*) AS pairs FROM (SELECT DISTINCT img, tu, tv FROM j) GROUP BY img")(lambda c: m._pixels(c).groupBy("img").agg(F.count(F.lit(1)).alias("pairs")))
+query("ag_57_surface_of_two", f"WITH {TSDF}, near AS (SELECT * FROM vol WHERE tsdf < 0.98 AND tsdf >= -0.98) SELECT axis::INT AS axis, count(*) AS n FROM near a, range(3) t(axis) JOIN near b ON b.ix = a.ix + (axis = 0)::INT AND b.iy = a.iy + (axis = 1)::INT AND b.iz = a.iz + (axis = 2)::INT WHERE a.tsdf * b.tsdf < 0 GROUP BY axis")(lambda c: volumes.surface_points(_volume(c, _volume(c)), 0.5).groupBy("axis").agg(F.count(F.lit(1)).alias("n")))
+query("ag_68_distances_of_two", f"WITH {TSDF.replace('least(1.0, (depth - d) / 0.6)', 'least(1.0, (depth - d) * 2 / 0.6)').replace('depth - d > -0.6', '(depth - d) * 2 > -0.6')} SELECT ix, iy, iz, {r('tsdf', 'weight * 2 AS weight')} FROM vol")(lambda c: _scaled_twice(c))
+
+
+def _scaled_twice(c: Inputs) -> DataFrame:
+    twice = images.distance_multiplier(c.spark, K, 100, 100).withColumn("m", F.lit(2.0))
+    pixels, cells = c.pix.select("img", "v", "u", (F.col("c0") / 10).alias("depth")), volumes.open_cells(c.xyz, 0.5, 0.6)
+    once = volumes.integrate(None, cells, pixels, K, CAM, 0.5, 0.6, multiplier=twice)
+    return volumes.integrate(once, cells, pixels, K, CAM, 0.5, 0.6, multiplier=twice)
+
+
+query("ag_69_voxels_of_two", f"WITH {TSDF} SELECT ix, iy, iz, {r('(tsdf + 1) / 2 AS r')} FROM vol WHERE tsdf < 0.98 AND tsdf >= -0.98")(lambda c: volumes.voxel_points(_volume(c, _volume(c)), 0.5).select(*KEYS, "r"))
+query("gr_38_odometry_levels", f"WITH h AS (SELECT v // 2 AS v, u // 2 AS u, c0 / 50 AS i, c0 / 10 AS d FROM pix WHERE img = 0 AND c0 > 0 AND c0 < 40) SELECT v::INT AS v, u::INT AS u, {r('avg(i) AS intensity', 'avg(d) AS depth')} FROM h GROUP BY 1, 2")(lambda c: alignment.odometry_levels(m._frame(c), m._frame(c), K, 100, 100, 2)[1][0])
