@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from voxelith.llm import neardup
-from voxelith.llm.components import components
+from voxelith.plans.components import components
 
 
 def brute_components(nodes, links):

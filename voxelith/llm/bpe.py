@@ -7,7 +7,8 @@ with numpy, then the block totals, then each position gets its state and says wh
 starts go through a bounded cache of merged pairs.
 
 Nulls and empty texts have no ids and decode to an empty text. Repeated rows are encoded each. Very long texts are scanned
-alone; very long slices merge with a heap in n log n.
+alone; very long slices merge with a heap in n log n. Empty tables give empty ones. Columns named like a result are replaced, others stay, whatever they
+are called.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ are allowed; one piece at least then stands unchanged in the stretch. Pieces are
 items; around each hit Myers' bit-parallel search decides.
 
 Items are taken in blocks of bounded size, each broadcast, with a pass over the documents for each block. Null and empty items are held by
-nothing; null and empty documents hold nothing. Equal items are each reported; repeated documents give repeated rows.
+nothing; null and empty documents hold nothing. Equal items are each reported; repeated documents give repeated rows. Empty tables hold nothing and are held by
+nothing; very long texts are searched whole. Of places with equally few edits the first is told, from its shortest stretch. Only ids and texts are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations

@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from .common import saved
-from .components import components
 from .tokens import blocks, mixed, odd_numbers, released, word_hashes
 
 POSITIONS, CHUNKS, ALLOWED = 30, 5, 3

@@ -6,6 +6,7 @@ single hash (one row, or equal rows, which no hash can part; such a shard may be
 oversized buckets only and look BITS bits ahead: bytes are summed for each longer prefix, and the splits are read off these sums.
 
 Null ids and texts count as empty ones; a text's bytes are those of its UTF-8. An empty table has no shards.
+Very long texts count whole. Other columns stay, whatever they are called.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ allowed by a rule allows its other members; else one in which some url is blocke
 
 Null urls and urls without `://` have an empty host and path, fit no rule and are in no class: they are allowed. Rows are
 judged one by one, so repeated rows get equal verdicts; urls are equal if they are the same text without the fragment, with scheme
-and host in lower case. Columns named host, path, rule or verdict are replaced.
+and host in lower case. Very long urls and pages are read whole; empty tables give empty ones. Columns named host, path, rule or verdict are replaced, others stay,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from .common import dropped, free_name, saved
-from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
