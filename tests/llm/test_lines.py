@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -48,7 +49,13 @@ def brute(rows, threshold, shortest, exact_from=None):
             if len(line) >= exact_from and line not in seen:
                 seen[line] = (i, p)
                 order.append(line)
-    late = {b for n, b in enumerate(order) if len(b) >= shortest and any(len(a) >= shortest and abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold for a in order[:n])}
+    # each edit changes the count of two letters at most by one, so most pairs need no table
+    counts = [Counter(x) for x in order]
+    few = lambda x, y: (x - y).total() <= threshold and (y - x).total() <= threshold
+    late = set()
+    for n, b in enumerate(order):
+        if len(b) >= shortest and any(len(a) >= shortest and abs(len(a) - len(b)) <= threshold and few(counts[m], counts[n]) and distance(a, b) <= threshold for m, a in enumerate(order[:n])):
+            late.add(b)
     for i, (_, text) in enumerate(rows):
         if text is None:
             out.append(None)
