@@ -53,7 +53,7 @@ def _depths(c: Inputs) -> DataFrame:
 
 
 def _fusion() -> fusion.Fusion:
-    return fusion.Fusion(K, 100, 100, 0.1, 0.2, levels=2, iterations=(2, 2), diameter=1, sigma_depth=0.1, sigma_space=2.0)
+    return fusion.Fusion(K, 100, 100, 0.1, 0.2, levels=2, iterations=(1, 1), diameter=1, sigma_depth=0.1, sigma_space=2.0)
 
 
 def _fused(c: Inputs) -> tuple[fusion.Fusion, list]:
@@ -132,7 +132,7 @@ def _pair(c: Inputs) -> tuple[DataFrame, DataFrame]:
     return own, own.withColumn("u", F.col("u") - 1).where("u >= 0")
 
 
-query("gr_30_weighted_odometry")(lambda c: numbers(c.spark, alignment.weighted_rgbd_odometry(*_pair(c), K, 100, 100, iterations=(3, 2))[1]))
+query("gr_30_weighted_odometry")(lambda c: numbers(c.spark, alignment.weighted_rgbd_odometry(*_pair(c), K, 100, 100, iterations=(2, 1))[1]))
 query("gr_40_weighted_step")(lambda c: numbers(c.spark, alignment.weighted_rgbd_odometry(*_pair(c), K, 100, 100, iterations=(1,), previous=(0.0,) * 6, inverse_sigma=(1.0,) * 6)[2][None, :]))
 
 # Features, lattices, stereo

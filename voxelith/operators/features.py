@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import cross, dot, sub
+from ..plans.lineage import cut
 from ..plans.spatial import XYZ, knn_join, radius_join
 from .points import NORMAL
 
@@ -68,8 +69,8 @@ def spfh(pairs: DataFrame) -> DataFrame:
 
 def fpfh(df: DataFrame, k: int = 100, radius: float | None = None) -> DataFrame:
     """(id, feat): own histograms plus those of the neighbours, weighted by the inverse of the squared distance and made to sum to 100 each."""
-    pairs = _pairs(df, k, radius).persist()
-    own = spfh(pairs).persist()
+    pairs = cut(_pairs(df, k, radius))
+    own = cut(spfh(pairs))
     near = pairs.where("q <> t and d2 > 0").select("q", "t", "d2").join(own.select(F.col("id").alias("t"), "feat"), "t")
     parts = near.select("q", F.posexplode("feat").alias("bin", "v"), "d2").groupBy("q", "bin").agg(F.sum(F.col("v") / F.col("d2")).alias("v"))
     sums = parts.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("bin", "v"))).alias("s")).select(F.col("q").alias("id"), F.transform("s", lambda x: x["v"]).alias("s"))

@@ -133,8 +133,8 @@ def cluster_dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     Clusters are numbered by their least core point, 0 first; a border point goes to the cluster of the least core id around; clusters
     with fewer than min_points points are noise.
     """
-    near = radius_join(points, points, eps).where("q <> t").select(F.col("q").alias("src"), F.col("t").alias("dst")).persist()
-    core = near.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("src").alias("id")).persist()
+    near = cut(radius_join(points, points, eps).where("q <> t").select(F.col("q").alias("src"), F.col("t").alias("dst")))
+    core = cut(near.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("src").alias("id")))
     inner = near.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi")
     own = components(core, inner)
     border = near.join(own.select(F.col("id").alias("dst"), "component"), "dst").join(core.select(F.col("id").alias("src")), "src", "left_anti")

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..plans.ranking import with_row_number, with_running_sum
 from ..plans.spatial import XYZ
 from .points import COLOR, NORMAL, has
@@ -260,7 +261,7 @@ def remove_unreferenced_vertices(mesh: Mesh) -> Mesh:
     """Vertices that some triangle has, numbered anew without gaps."""
     vertices, triangles = mesh
     used = triangles.select(F.explode(F.array(*CORNERS)).alias("id")).distinct()
-    kept = with_row_number(vertices.join(used, "id", "left_semi"), "id", "new__").persist()
+    kept = cut(with_row_number(vertices.join(used, "id", "left_semi"), "id", "new__"))
     names = kept.select("id", "new__")
     for c in CORNERS:
         triangles = triangles.join(names.withColumnRenamed("id", c), c).withColumn(c, F.col("new__")).drop("new__")
@@ -298,14 +299,14 @@ def _step(vertices: DataFrame, edges: DataFrame, formula, weight: str | None = N
 
 
 def filter_sharpen(mesh: Mesh, iterations: int = 1, strength: float = 1.0) -> Mesh:
-    vertices, edges = mesh[0], edge_list(mesh[1]).persist()
+    vertices, edges = mesh[0], cut(edge_list(mesh[1]))
     for _ in range(iterations):
         vertices = _step(vertices, edges, lambda p, s, n: p + strength * (p * n - s))
     return vertices, mesh[1]
 
 
 def filter_smooth_simple(mesh: Mesh, iterations: int = 1) -> Mesh:
-    vertices, edges = mesh[0], edge_list(mesh[1]).persist()
+    vertices, edges = mesh[0], cut(edge_list(mesh[1]))
     for _ in range(iterations):
         vertices = _step(vertices, edges, lambda p, s, n: (p + s) / (1 + n))
     return vertices, mesh[1]
@@ -325,14 +326,14 @@ def _laplacian(vertices: DataFrame, edges: DataFrame, factor: float) -> DataFram
 
 
 def filter_smooth_laplacian(mesh: Mesh, iterations: int = 1, factor: float = 0.5) -> Mesh:
-    vertices, edges = mesh[0], _weighted_edges(mesh).persist()
+    vertices, edges = mesh[0], cut(_weighted_edges(mesh))
     for _ in range(iterations):
         vertices = _laplacian(vertices, edges, factor)
     return vertices, mesh[1]
 
 
 def filter_smooth_taubin(mesh: Mesh, iterations: int = 1, factor: float = 0.5, mu: float = -0.53) -> Mesh:
-    vertices, edges = mesh[0], _weighted_edges(mesh).persist()
+    vertices, edges = mesh[0], cut(_weighted_edges(mesh))
     for _ in range(iterations):
         vertices = _laplacian(_laplacian(vertices, edges, factor), edges, mu)
     return vertices, mesh[1]
@@ -343,7 +344,7 @@ def filter_smooth_taubin(mesh: Mesh, iterations: int = 1, factor: float = 0.5, m
 
 def sample_points_uniformly(mesh: Mesh, n: int, seed: int = 0) -> DataFrame:
     """n points spread by area: each triangle gets the whole numbers between the running sums before and after it, scaled to n."""
-    areas = with_running_sum(triangle_areas(mesh), "tid", "area", "upto").persist()
+    areas = cut(with_running_sum(triangle_areas(mesh), "tid", "area", "upto"))
     total = areas.agg(F.max("upto")).first()[0] or 0.0
     if not total:
         return mesh[0].limit(0).select("id", *XYZ)

@@ -167,7 +167,7 @@ def remove_radius_outlier(df: DataFrame, neighbours: int, radius: float) -> Data
 
 def remove_statistical_outlier(df: DataFrame, neighbours: int, ratio: float) -> DataFrame:
     """Points whose mean squared distance to their nearest points (themselves included) is positive and below mean + ratio * deviation of all."""
-    mean = knn_join(df, df, neighbours).groupBy("q").agg(F.avg("d2").alias("m")).persist()
+    mean = cut(knn_join(df, df, neighbours).groupBy("q").agg(F.avg("d2").alias("m")))
     r = mean.where("m > 0").agg(F.avg("m").alias("a"), F.stddev_samp("m").alias("s")).first()
     limit = (r["a"] or 0.0) + ratio * (r["s"] or 0.0)
     keep = mean.where((F.col("m") > 0) & (F.col("m") < limit)).select(F.col("q").alias("id"))
