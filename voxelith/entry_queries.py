@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from . import more_queries as m
 from . import queries as q
 from .functions import linalg
-from .operators import alignment, graphs, images, kinematics, meshes, planning, points, registration, scans, volumes, voxels
+from .operators import graphs, images, kinematics, meshes, planning, points, registration, scans, voxels
 from .operators.boxes import Box, OrientedBox
 from .plans import spatial
 from .plans.lineage import cut
 from .plans.spatial import XYZ
-from .queries import CAM, TRI, TRI_XYZ, Inputs, K, M, _abc, _colored, _lin, _occupancy, _paired, _segments, numbers, query, r
+from .queries import TRI, TRI_XYZ, Inputs, K, _colored, _lin, _occupancy, _paired, _segments, numbers, query, r
 from .sources import files, formats
 
 KEYS = voxels.KEYS
