@@ -130,3 +130,40 @@ def test_the_query_is_brute_force(spark):
     rows = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())[:25]
     got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), threshold=2, shortest=20, exact_from=1).collect()}
     assert [got[i] for i, _ in rows] == brute(rows, 2, 20, 1)
+
+
+def test_counts_of_lines_within_the_threshold_are_alike(spark):
+    rng = random.Random(7)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choices("abcdefgh é\U0001f600\U0001f601字", k=rng.randrange(1, 60)))
+        pairs.append((a, edited(rng, a, rng.randrange(5))))
+    pairs += [("a" * 70000, "a" * 69999 + "b"), ("a" * 70000 + "z" * 12, "c" * 12 + "a" * 70000)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for k in (0, 1, 2, 3):
+        x, y = lines.counted(F.col("a"), k), lines.counted(F.col("b"), k)
+        equal = F.array(*[p == q for p, q in zip(x, y)])
+        got = df.select("a", "b", lines.alike(x, y, F.length("a"), F.length("b"), k).alias("alike"), F.exists(equal, lambda e: e).alias("meet")).collect()
+        for r in got[:-2]:
+            few = distance(r["a"], r["b"]) <= k
+            assert not few or (r["alike"] and r["meet"]), (r, k)
+        assert [r["alike"] for r in got[-2:]] == [k > 0, False]
+
+
+def test_a_family_of_lines_is_not_paired_all_with_all(spark, monkeypatch):
+    """Lines that differ from the earliest one by other words at the same few places meet by their spans, not by their counts."""
+    rng = random.Random(13)
+    base = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        words = list(base)
+        for _ in range(2):
+            words[rng.choice([25, 26, 27])] = "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(6, 9)))
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, edited(rng, rows[i][1], 2)) for i in range(0, 400, 20)]
+    made, own = [], lines._with_texts
+    monkeypatch.setattr(lines, "_with_texts", lambda pairs, texts: made.append(pairs.count()) or own(pairs, texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(df, threshold=2).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows, 2, 20)
+    assert made[-1] < 2 * len(rows), made

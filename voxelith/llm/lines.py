@@ -13,8 +13,10 @@ the threshold may have. Only one row of each different line takes part in all th
 In each key every line is compared with the key's earliest line. Lines that this decides need no comparison of their own. The others
 are compared with earlier lines of the key, but not with all of them: lines are placed by where they first and last differ from the key's
 earliest line (`placed_by`), two lines within the threshold of each other lie in overlapping spans on both sides, and only
-lines whose spans meet are paired, by an equi-join on the span's blocks. The check of a pair is a bit-parallel edit distance
-in a band of 2 * threshold + 1 diagonals.
+lines whose spans meet are paired, by an equi-join on the span's blocks. As each edit takes one code point away, adds one, or both, lines within the
+threshold have all counts of code points in common but those of 2 * threshold classes: of 2 * threshold + 1 groups of classes one has equal counts, which
+are a further part of the join's key (`counted`), and the counts together differ by no more than `threshold` either way (`alike`). The check of a pair is a
+bit-parallel edit distance in a band of 2 * threshold + 1 diagonals.
 
 Null texts stay null, empty texts empty, empty tables empty. Very long lines are taken whole. Rows equal in id and text are judged alike.
 Null ids come first. Ties (equal lines) go to the first occurrence. Other columns stay, whatever they are called, but those named like a result are replaced.
@@ -30,6 +32,8 @@ from .common import dropped, free_name, saved
 LINE = "\n"
 #: Code points of a span's block, for each edit of the threshold.
 BLOCK = 8
+#: Classes of code points counted in one number, and the bits of each count.
+SLOTS, BITS = 3, 16
 
 
 def rounded(n: Column) -> Column:
@@ -178,6 +182,30 @@ def placed_by(x: Column, head: Column, threshold: int) -> Column:
     )
 
 
+def counted(line: Column, threshold: int) -> list[Column]:
+    """How many code points of each class a line has: one number for each of 2 * threshold + 1 groups of SLOTS classes.
+
+    Counts overflow into the next one; as sums modulo a power of two, the numbers differ by what the edits change all the same.
+    """
+    groups, mask = 2 * threshold + 1, F.lit((1 << SLOTS * BITS) - 1).cast("long")
+    zero = F.lit(0).cast("long")
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(x / groups).cast("int") % SLOTS * BITS)
+    codes = F.transform(F.split(line, ""), lambda x: F.ascii(x))
+    of = lambda g: F.filter(codes, lambda x: x % groups == g)
+    return [F.aggregate(of(g), zero, lambda s, x: (s + one(x)).bitwiseAND(mask)) for g in range(groups)]
+
+
+def alike(a: list[Column], b: list[Column], n_a: Column, n_b: Column, threshold: int) -> Column:
+    """Whether two lines' counts differ by no more than threshold edits can change: so many code points too many, and so many too few."""
+    mask, middle = (1 << SLOTS * BITS) - 1, sum(threshold << BITS * i for i in range(SLOTS))
+    more = F.lit(0).cast("long")
+    for x, y in zip(a, b):
+        apart = (x - y + F.lit(middle)).bitwiseAND(F.lit(mask).cast("long"))
+        for i in range(SLOTS):
+            more = more + F.greatest(F.shiftright(apart, BITS * i).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) - threshold, F.lit(0).cast("long"))
+    return (more <= threshold) & (more - (n_a - n_b) <= threshold)
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a1, a2, b1, b2) with line_a and line_b."""
     for side in ("a", "b"):
@@ -185,6 +213,23 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs
 
 
+def paired(around: DataFrame, sums: list[str], threshold: int) -> DataFrame:
+    """Each pair of lines a, b of a key of which b, the later one, may be within the threshold of a, by their spans and counts."""
+    names = ["own", "first", "h1", "h2", "n", "from_start", "start_to", "from_end", "end_to", *sums]
+    each = around.select("*", F.posexplode(F.array(*sums)).alias("group", "equal"))
+    on = ["key", "block", "group", "equal"]
+    a = each.select(*on, *[F.col(c).alias(f"{c}_a") for c in names])
+    b = each.where("not late").select(*on, *[F.col(c).alias(f"{c}_b") for c in names])
+    meet = (F.col("from_start_a") <= F.col("start_to_b")) & (F.col("from_start_b") <= F.col("start_to_a")) & (F.col("from_end_a") <= F.col("end_to_b")) & (F.col("from_end_b") <= F.col("end_to_a"))
+    able = (F.col("first_a") < F.col("first_b")) & (F.col("own_a") | F.col("own_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= threshold)
+    # two spans meet in several blocks, and several groups may have equal counts; the first of them counts
+    once = F.col("block") == F.floor(F.greatest("from_start_a", "from_start_b") / (BLOCK * max(threshold, 1)))
+    for g, c in enumerate(sums):
+        once = once & ((F.col("group") <= g) | (F.col(f"{c}_a") != F.col(f"{c}_b")))
+    near = alike([F.col(f"{c}_a") for c in sums], [F.col(f"{c}_b") for c in sums], F.col("n_a"), F.col("n_b"), threshold)
+    return b.join(a, on).where(able & meet & once & near)
+
+
 def first_lines(df: DataFrame, id_col: str, text_col: str, threshold: int, shortest: int, exact_from: int) -> DataFrame:
     """(id, text_key, pos) of the lines that take part and stay."""
     lines = _lines(df, id_col, text_col, exact_from)
@@ -218,15 +263,11 @@ def first_lines(df: DataFrame, id_col: str, text_col: str, threshold: int, short
     open_keys = around.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("late").alias("late")).where("rows > 1 and not late").select("key")
     block = BLOCK * max(threshold, 1)
     blocks = F.sequence(F.floor(F.col("from_start") / block), F.floor(F.least(F.col("start_to"), F.col("n") + threshold) / block))
-    around = saved(around.join(open_keys, "key").withColumn("block", F.explode(blocks)))
-    names = ["own", "first", "h1", "h2", "n", "from_start", "start_to", "from_end", "end_to"]
-    a = around.select("key", "block", *[F.col(c).alias(f"{c}_a") for c in names])
-    b = around.where("not late").select("key", "block", *[F.col(c).alias(f"{c}_b") for c in names])
-    meet = (F.col("from_start_a") <= F.col("start_to_b")) & (F.col("from_start_b") <= F.col("start_to_a")) & (F.col("from_end_a") <= F.col("end_to_b")) & (F.col("from_end_b") <= F.col("end_to_a"))
-    able = (F.col("first_a") < F.col("first_b")) & (F.col("own_a") | F.col("own_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= threshold)
-    # two spans meet in several blocks; the first of them counts
-    once = F.col("block") == F.floor(F.greatest("from_start_a", "from_start_b") / block)
-    rest = b.join(a, ["key", "block"]).where(able & meet & once).select(F.col("h1_a").alias("a1"), F.col("h2_a").alias("a2"), F.col("h1_b").alias("b1"), F.col("h2_b").alias("b2")).distinct()
+    around = around.join(open_keys, "key")
+    sums = [f"sum{g}" for g in range(2 * threshold + 1)]
+    counts = texts.join(around.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", *[x.alias(c) for x, c in zip(counted(F.col("line"), threshold), sums)])
+    around = saved(around.join(counts, ["h1", "h2"]).withColumn("block", F.explode(blocks)))
+    rest = paired(around, sums, threshold).select(F.col("h1_a").alias("a1"), F.col("h2_a").alias("a2"), F.col("h1_b").alias("b1"), F.col("h2_b").alias("b2")).distinct()
     more = saved(_with_texts(rest, texts).where(within(F.col("line_a"), F.col("line_b"), threshold)).select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct())
     return firsts.join(late.unionByName(more), ["h1", "h2"], "left_anti").select("first.id", "first.text_key", "first.pos")
 
