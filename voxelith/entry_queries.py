@@ -290,7 +290,7 @@ query("fl_37_pixel_pairs", "SELECT a.img, a.v, a.u, round(a.c0 + b.c0, 6) + 0.0
 
 query("jn_01_cells", "SELECT floor(x / 0.7)::BIGINT AS cx, floor(y / 0.7)::BIGINT AS cy, floor(z / 0.7)::BIGINT AS cz, count(*) AS n FROM pts GROUP BY 1, 2, 3")(lambda c: c.xyz.groupBy(*[e.alias(n) for e, n in zip(spatial.cell(XYZ, 0.7), ("cx", "cy", "cz"))]).agg(F.count(F.lit(1)).alias("n")))
 query("jn_07_cells_of_targets", "SELECT floor(x / 0.5)::BIGINT AS cx, min(id) AS low FROM ptb GROUP BY 1")(lambda c: c.ptb.groupBy(spatial.cell(["x"], 0.5)[0].alias("cx")).agg(F.min("id").alias("low")))
-query("jn_02_search", f"WITH {q.KNN.format(q='pts', t='ptb')} SELECT q, t, {r('d2')} FROM k WHERE rn <= 4 AND d2 < 1.44")(lambda c: spatial.nearest_of(spatial.radius_join(c.xyz, c.ptb, 1.2), 4))
+query("jn_02_search", f"WITH {q.KNN.format(q='pts', t='ptb')} SELECT q, t, {r('d2')} FROM k WHERE rn <= 4 AND d2 < 1.44")(lambda c: spatial.radius_join(c.xyz, c.ptb, 1.2, max_nn=4))
 BY = '"by"'
 query("jn_14_voxels_occupied", f"WITH {q.OCC}, t AS (SELECT b.ix AS bx, b.iy AS {BY}, b.iz AS bz, min({{'x': a.ix, 'y': a.iy, 'z': a.iz}}) AS v FROM vox b JOIN occ a ON a.p > 0 AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 GROUP BY ALL) SELECT t.bx, t.{BY}, t.bz, v.x AS ax, v.y AS ay, v.z AS az FROM t")(lambda c: voxels.collide_occupied(_occupancy(c), c.vox, 0.5, 0.5, (0, 0, 0), (0, 0, 0)))
 SPHERES = "WITH {more}t AS (SELECT p.id AS pid, min({{'x': ix, 'y': iy, 'z': iz}}) AS v FROM pts p JOIN {cells} ON pow(greatest(ix * 0.5 - x, 0, x - (ix + 1) * 0.5), 2) + pow(greatest(iy * 0.5 - y, 0, y - (iy + 1) * 0.5), 2) + pow(greatest(iz * 0.5 - z, 0, z - (iz + 1) * 0.5), 2) <= 0.09 GROUP BY p.id) SELECT v.x AS ix, v.y AS iy, v.z AS iz, count(*) AS n FROM t GROUP BY 1, 2, 3"
