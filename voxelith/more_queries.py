@@ -259,7 +259,7 @@ def _ball(c: Inputs) -> DataFrame:
 
 # Ranks, sets, graphs, solvers
 
-query("wn_01_rank_cap", f"WITH {q.KNN.format(q='ptb', t='pts')} SELECT q, t, {r('d2')} FROM k WHERE rn <= 2 AND d2 < 2.25")(lambda c: spatial.nearest_of(spatial.radius_join(c.ptb, c.xyz, 1.5), 2))
+query("wn_01_rank_cap", f"WITH {q.KNN.format(q='ptb', t='pts')} SELECT q, t, {r('d2')} FROM k WHERE rn <= 2 AND d2 < 2.25")(lambda c: spatial.radius_join(c.ptb, c.xyz, 1.5, max_nn=2))
 query("wn_05_plane_of_three", f"WITH {TRI_XYZ}, u AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS s FROM tn) SELECT tid, {r('abs(cx) / s AS a', 'abs(cz) / s AS c', 'abs((cx * x0 + cy * y0 + cz * z0) / s) AS d')} FROM u")(lambda c: _planes(c))
 
 
