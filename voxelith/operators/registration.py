@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import kabsch, solve_psd, twist_to_matrix
+from ..plans.leaves import Leaves
 from ..plans.spatial import XYZ, nearest
 from .points import COLOR, NORMAL, estimate_normals, transform
 
 
+#: Distances between features that a worker holds at once.
+DISTANCES = 1 << 20
+
+
 @dataclass
 class Result:
     transformation: np.ndarray
@@ -21,8 +26,8 @@ class Result:
     correspondences: DataFrame | None = None
 
 
-def correspondences(source: DataFrame, target: DataFrame, distance: float, normals: bool = False, source_normals: bool = False, colors: bool = False) -> DataFrame:
-    """(q, t, d2, q_x ..., t_x ...): the nearest target of each source point within the distance."""
+def correspondences(source: DataFrame, target: DataFrame | Leaves, distance: float, normals: bool = False, source_normals: bool = False, colors: bool = False) -> DataFrame:
+    """(q, t, d2, q_x ..., t_x ...): the nearest target of each source point within the distance. Leaves of the target have to keep the named columns."""
     more = [*XYZ, *(NORMAL if normals else ()), *(COLOR if colors else ())]
     own = [*XYZ, *(NORMAL if source_normals else ()), *(COLOR if colors else ())]
     return nearest(source, target, distance, keep_query=own, keep_target=more)
@@ -135,7 +140,8 @@ def icp(source: DataFrame, target: DataFrame, distance: float, init: np.ndarray
     estimation = estimation or PointToPoint()
     m = np.eye(4) if init is None else np.array(init, float)
     names = ["id", *XYZ, *(NORMAL if estimation.needs.get("source_normals") else ())]
-    source, target = source.select(*names).persist(), target.persist()
+    needs = [n for what, more in (("normals", NORMAL), ("colors", COLOR)) if estimation.needs.get(what) for n in more]
+    source, target = source.select(*names).persist(), Leaves(target, XYZ, keep=[*XYZ, *needs])  # the target is dealt once for all iterations
     total = source.count()
     last = None
     for i in range(iterations + 1):
@@ -170,7 +176,7 @@ def match_features(a: DataFrame, b: DataFrame, dims: int) -> DataFrame:
 
 
 def _nearest_features(query: DataFrame, target: DataFrame, dims: int, block: int = 20_000) -> DataFrame:
-    """(q, t, d2): targets go to the workers in blocks of bounded size, each query keeps its best of every block."""
+    """(q, t, d2): targets go to the workers in blocks of bounded size, each query keeps its best of every block, ties by the lower id. No more than DISTANCES are held at once."""
     import pandas as pd
 
     spark, out = query.sparkSession, None
@@ -178,12 +184,19 @@ def _nearest_features(query: DataFrame, target: DataFrame, dims: int, block: int
     def finder(shared):
         def run(batches):
             ids, feats, squares = shared.value
-            for p in batches:
+            step = max(1, DISTANCES // len(ids))
+            for p in (b.iloc[s : s + step] for b in batches for s in range(0, len(b), step)):
                 f = np.stack(p["feat"].to_numpy())
-                d = (f * f).sum(1)[:, None] + squares[None, :] - 2 * f @ feats.T
-                best = d.argmin(axis=1)
-                exact = ((f - feats[best]) ** 2).sum(1)
-                yield pd.DataFrame({"q": p["id"], "t": ids[best], "d2": exact})
+                own = (f * f).sum(1)
+                d = f @ feats.T
+                d *= -2
+                d += squares
+                # products are rounded: all that may be the nearest are looked at exactly
+                i, j = np.nonzero(d <= d.min(axis=1, keepdims=True) + 1e-12 * (own[:, None] + squares.max()))
+                exact = ((f[i] - feats[j]) ** 2).sum(1)
+                i, j, exact = (x[np.lexsort((j, exact, i))] for x in (i, j, exact))
+                first = np.searchsorted(i, np.arange(len(f)))
+                yield pd.DataFrame({"q": p["id"].to_numpy(), "t": ids[j[first]], "d2": exact[first]})
 
         return run
 
@@ -204,4 +217,6 @@ def _nearest_features(query: DataFrame, target: DataFrame, dims: int, block: int
         if len(rows) >= block:
             flush()
     flush()
+    if out is None:
+        return spark.createDataFrame([], "q long, t long, d2 double")
     return out.groupBy("q").agg(F.min(F.struct("d2", "t")).alias("b")).select("q", "b.t", "b.d2")
