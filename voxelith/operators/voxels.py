@@ -226,18 +226,50 @@ def collide_occupied(grid: DataFrame, other: DataFrame, size: float, other_size:
 
 def collide_capsules(voxels: DataFrame, capsules: DataFrame, size: float, origin: Sequence[float]) -> DataFrame:
     """(pid, ix, iy, iz) of the least voxel that each capsule (pid, x0 .. z0, x1 .. z1, radius) touches."""
-    from ..functions.predicates import capsule_aabb
-
-    q = capsules
+    # the part of the segment (from from__ to till__ of its length) near each layer of cells tells which cells of the next axis count; a little wider than
+    # the capsule, as these bounds are rounded
+    far = F.greatest(*[F.abs(f"{c}{n}") for c in XYZ for n in (0, 1)])
+    q = capsules.withColumns({"wide__": F.col("radius") + 1e-6 * size + 1e-9 * far, "from__": F.lit(0.0), "till__": F.lit(1.0)})
     for i, (c, k) in enumerate(zip(XYZ, KEYS)):
-        low = F.floor((F.least(f"{c}0", f"{c}1") - F.col("radius") - float(origin[i])) / size).cast("int")
-        high = F.floor((F.greatest(f"{c}0", f"{c}1") + F.col("radius") - float(origin[i])) / size).cast("int")
+        d = F.col(f"{c}1") - F.col(f"{c}0")
+        ends = [F.col(f"{c}0") + F.col(t) * d for t in ("from__", "till__")]
+        low = F.floor((F.least(*ends) - F.col("wide__") - float(origin[i])) / size).cast("int")
+        high = F.floor((F.greatest(*ends) + F.col("wide__") - float(origin[i])) / size).cast("int")
         q = q.withColumn(k, F.explode(F.sequence(low, high)))
-    near = q.join(voxels.select(*KEYS), KEYS)
-    a = [F.col(k) * size + float(origin[i]) for i, k in enumerate(KEYS)]
-    near = near.withColumns({f"lo{i}": v for i, v in enumerate(a)} | {f"hi{i}": v + size for i, v in enumerate(a)} | {f"d{i}": F.col(f"{c}1") - F.col(f"{c}0") for i, c in enumerate(XYZ)})
-    hit = capsule_aabb(F.col("radius"), [F.col(f"{c}0") for c in XYZ], [F.col(f"d{i}") for i in range(3)], [F.col(f"lo{i}") for i in range(3)], [F.col(f"hi{i}") for i in range(3)])
-    return near.where(hit).groupBy("pid").agg(F.min(F.struct(*KEYS)).alias("v")).select("pid", "v.ix", "v.iy", "v.iz")
+        at = [(F.col(k) * size + float(origin[i]) - F.col("wide__") - F.col(f"{c}0")) / F.nullif(d, F.lit(0.0)), ((F.col(k) + 1) * size + float(origin[i]) + F.col("wide__") - F.col(f"{c}0")) / F.nullif(d, F.lit(0.0))]
+        q = q.withColumns({"from__": F.when(d == 0, F.col("from__")).otherwise(F.greatest(F.col("from__"), F.least(*at))), "till__": F.when(d == 0, F.col("till__")).otherwise(F.least(F.col("till__"), F.greatest(*at)))}).where("from__ <= till__")
+    near = q.select("pid", *[f"{c}{n}" for n in (0, 1) for c in XYZ], "radius", *KEYS).join(voxels.select(*KEYS), KEYS)
+
+    def touched(batches):
+
+        for b in batches:
+            p, end, r, low = b[[f"{c}0" for c in XYZ]].to_numpy(float), b[[f"{c}1" for c in XYZ]].to_numpy(float), b["radius"].to_numpy(float), b[list(KEYS)].to_numpy() * size + np.asarray(origin, float)
+            hit = b.loc[capsules_boxes(r, p, end - p, low, low + size), ["pid", *KEYS]].sort_values(list(KEYS))
+            yield pd.DataFrame(hit.drop_duplicates("pid"))
+
+    kind = near.schema["pid"].dataType.simpleString()
+    hit = near.mapInPandas(touched, f"pid {kind}, ix int, iy int, iz int")
+    return hit.groupBy("pid").agg(F.min(F.struct(*KEYS)).alias("v")).select("pid", "v.ix", "v.iy", "v.iz")
+
+
+def capsules_boxes(radius: np.ndarray, p: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 48) -> np.ndarray:
+    """predicates.capsule_aabb for rows of arrays, with the same steps and roundings."""
+
+    def gaps(t: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for i in range(3):
+            x = p[:, i] + t * d[:, i]
+            out.append(np.where(x > high[:, i], x - high[:, i], np.where(x < low[:, i], x - low[:, i], 0.0)))
+        return out
+
+    start, stop = np.zeros(len(p)), np.ones(len(p))
+    for _ in range(steps):
+        m = (start + stop) / 2
+        g = gaps(m)
+        up = g[0] * d[:, 0] + g[1] * d[:, 1] + g[2] * d[:, 2] > 0
+        start, stop = np.where(up, start, m), np.where(up, m, stop)
+    g = gaps((start + stop) / 2)
+    return g[0] * g[0] + g[1] * g[1] + g[2] * g[2] <= radius * radius + 1e-12
 
 
 def linear_index(ix: Column, iy: Column, iz: Column, resolution: int) -> Column:
