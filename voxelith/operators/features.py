@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import cross, dot, sub
 from ..plans.lineage import cut
-from ..plans.spatial import XYZ, knn_join, radius_join
+from ..plans.leaves import PAIRS, neighbourhoods, placed, places, squares
+from ..plans.spatial import MANY, XYZ, knn_join, radius_join
 from .points import NORMAL
 
 BINS = 11
@@ -142,6 +143,8 @@ def shot_of(q: np.ndarray, distance: np.ndarray, normal: np.ndarray, radius: flo
 
 def shot(df: DataFrame, radius: float, max_nn: int = 100) -> DataFrame:
     """(id, feat): 352 numbers of norm 1, or zeros for points with fewer than five neighbours (max_nn at most, the nearest)."""
+    if max_nn > MANY and df.count() <= max_nn:
+        return _shot_of_all(df, radius)
     pairs = radius_join(df, df, radius, max_nn=max_nn, keep_query=[*XYZ, *NORMAL], keep_target=XYZ).where("q <> t")
     near = F.collect_list(F.struct("d2", "t", *[(F.col(f"t_{c}") - F.col(f"q_{c}")).alias(c) for c in XYZ]))
     each = pairs.groupBy("q").agg(F.array_sort(near).alias("near")).select(F.col("q").alias("id"), F.col("near.d2").alias("d2"), *[F.col(f"near.{c}").alias(f"d{c}") for c in XYZ])
@@ -155,3 +158,26 @@ def shot(df: DataFrame, radius: float, max_nn: int = 100) -> DataFrame:
             yield pd.DataFrame({"id": p["id"], "feat": [f.tolist() for f in feats]})
 
     return each.mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, feat array<double>")
+
+
+def _shot_of_all(df: DataFrame, radius: float) -> DataFrame:
+    """shot over all partners within the radius, taken where they are: no row is made for a pair."""
+    import pyarrow as pa
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("t") if b.num_rows else b
+        q, t, normals, own, other = places(a, [f"q_{c}" for c in XYZ]), places(b, [f"t_{c}" for c in XYZ]), places(a, [f"q_{c}" for c in NORMAL]), a["q"].to_numpy(), b["t"].to_numpy()
+        feats, step = np.zeros((len(q), SHOT_SECTORS * (SHOT_BINS + 1))), max(1, PAIRS // max(1, len(t)))
+        for s in range(0, len(q) if len(t) else 0, step):
+            d2 = squares(q[s : s + step], t)
+            for i, (row, at) in enumerate(zip(d2, range(s, s + len(d2)))):
+                j = np.flatnonzero((row < radius * radius) & (other != own[at]))
+                if len(j) >= 5:
+                    j = j[np.argsort(row[j], kind="stable")]
+                    feats[at] = shot_of(t[j] - q[at], np.sqrt(row[j]), normals[at], radius)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * feats.shape[1], pa.int32()), pa.array(feats.reshape(-1)))
+        return pa.table({"id": a["q"], "feat": lists})
+
+    found = neighbourhoods(df, df, radius, run, f"id {df.schema['id'].dataType.simpleString()}, feat array<double>", XYZ, keep_query=NORMAL)
+    nothing = F.array_repeat(F.lit(0.0), SHOT_SECTORS * (SHOT_BINS + 1))
+    return found.unionByName(df.where(~placed(XYZ)).select("id", nothing.alias("feat")))
