@@ -84,3 +84,21 @@ def test_capsules_look_at_cells_along_them_only(spark):
     out = voxels.collide_capsules(cells, capsules, 0.5, (0, 0, 0))
     assert {r[0]: tuple(r[1:]) for r in out.collect()} == want and len(want) > 50
     assert "ArrowEvalPython" in (plan := out._jdf.queryExecution().toString()) or "MapInPandas" in plan  # the test of a box is no expression of its steps any more
+
+
+@pytest.mark.parametrize("few", [40, 4096])
+def test_triangles_meet_once_over_leaves(spark, monkeypatch, few):
+    from voxelith.operators import meshes
+    from voxelith.operators.boxes import triangles_triangles
+
+    monkeypatch.setattr(meshes, "FACES", few)
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.normal(0, 1, (90, 3)), rng.integers(-2, 3, (60, 3)).astype(float)])
+    t = [(100 - i, *map(int, rng.choice(150, 3, replace=False))) for i in range(100)]
+    mesh = frame(spark, p), spark.createDataFrame(t, "tid long, v0 long, v1 long, v2 long")
+    out = meshes.self_intersecting_triangles(mesh, 1.0)
+    assert "dropDuplicates" not in (plan := out._jdf.queryExecution().toString()) and "Deduplicate" not in plan and "CoGroup" in plan
+    places, shared = {i: p[list(v)] for i, *v in t}, {i: set(v) for i, *v in t}
+    pairs = [(i, j) for i in places for j in places if i < j and not shared[i] & shared[j] and (places[i].min(0) <= places[j].max(0)).all() and (places[j].min(0) <= places[i].max(0)).all()]
+    hit = triangles_triangles(np.array([places[i] for i, _ in pairs]), np.array([places[j] for _, j in pairs]))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(x for x, h in zip(pairs, hit) if h) and hit.sum() > 50
