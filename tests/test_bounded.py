@@ -102,3 +102,33 @@ def test_triangles_meet_once_over_leaves(spark, monkeypatch, few):
     pairs = [(i, j) for i in places for j in places if i < j and not shared[i] & shared[j] and (places[i].min(0) <= places[j].max(0)).all() and (places[j].min(0) <= places[i].max(0)).all()]
     hit = triangles_triangles(np.array([places[i] for i, _ in pairs]), np.array([places[j] for _, j in pairs]))
     assert sorted(tuple(r) for r in out.collect()) == sorted(x for x, h in zip(pairs, hit) if h) and hit.sum() > 50
+
+
+def test_clusters_without_a_row_for_each_pair(spark, monkeypatch):
+    from voxelith.operators import graphs
+
+    limits, join = [], graphs.radius_join
+    monkeypatch.setattr(graphs, "radius_join", lambda *a, max_nn=None, **more: limits.append(max_nn) or join(*a, max_nn=max_nn, **more))
+
+    rng = np.random.default_rng(9)
+    # two dense heaps whose nearest points are a little less than eps apart, a third too far away, copies, and loose points
+    heaps = [rng.uniform(0, 0.3, (150, 3)), rng.uniform(0, 0.3, (150, 3)) + [0.85, 0, 0], rng.uniform(0, 0.3, (80, 3)) + [0, 3, 0], np.full((20, 3), -2.0), rng.uniform(-4, 4, (80, 3))]
+    heaps[0][0], heaps[1][0] = (0.3, 0.15, 0.15), (0.85, 0.15, 0.15)
+    p = np.concatenate(heaps)[rng.permutation(480)]
+    df, eps, least = frame(spark, p, 5), 0.56, 4
+    d = ((p[:, None] - p[None]) ** 2).sum(-1) < eps * eps
+    np.fill_diagonal(d, False)
+    core = d.sum(1) >= least
+    part = np.where(core, np.arange(len(p)), len(p))
+    while True:
+        next_ = np.where(core, np.minimum(part, np.where(d & core[None, :], part[None, :], len(p)).min(1)), part)
+        if (next_ == part).all():
+            break
+        part = next_
+    for i in np.flatnonzero(~core):
+        near = np.flatnonzero(d[i] & core)
+        part[i] = part[near[0]] if len(near) else -1
+    sizes = {c: (part == c).sum() for c in set(part) - {-1}}
+    number = {c: i for i, c in enumerate(sorted(c for c, n in sizes.items() if n >= least))}
+    assert {r["id"] - 5: r["cluster"] for r in graphs.cluster_dbscan(df, eps, least).collect()} == {i: number.get(c, -1) for i, c in enumerate(part)}
+    assert limits == [least + 1]  # before, all pairs within eps

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components as connected
 from ..plans.lineage import cut
-from ..plans.spatial import XYZ, radius_join
+from ..plans.spatial import XYZ, cell, radius_join, squared_distance
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -127,16 +128,41 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _core_components(core: DataFrame, near: DataFrame, eps: float) -> DataFrame:
+    """(id, component) of core points: chains of steps shorter than eps, without a row for each pair within eps.
+
+    Cells are so small that all points of one are within eps of each other; its least point stands for it. Cells are joined along `near` (some pairs within eps), then
+    only points of cells that are near each other and still in different components are compared.
+    """
+    keys = ["c0", "c1", "c2"]
+    placed = core.withColumns(dict(zip(keys, cell(XYZ, 0.999 * eps / 3**0.5))))
+    placed = cut(placed.join(placed.groupBy(*keys).agg(F.min("id").alias("rep")), keys))
+    reps = placed.select("id", "rep")
+    steps = near.join(reps.select(F.col("id").alias("src"), F.col("rep").alias("a")), "src").join(reps.select(F.col("id").alias("dst"), F.col("rep").alias("b")), "dst")
+    cells = placed.select(*keys, F.col("rep").alias("id")).distinct()
+    found = components(cells, steps.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    cells = cut(cells.join(found, "id"))
+    beyond = F.array(*[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(step)]) for step in itertools.product(range(-2, 3), repeat=3)])
+    other = cells.select(F.col("id").alias("b"), F.col("component").alias("dst"), *keys)
+    around = cells.select(F.col("id").alias("a"), F.col("component").alias("src"), F.explode(beyond).alias("o"), *keys).withColumns({k: F.col(k) + F.col(f"o.o{i}") for i, k in enumerate(keys)})
+    apart = around.join(other, keys).where("src < dst").select("a", "b", "src", "dst")
+    sides = [placed.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in XYZ]) for s in "ab"]
+    links = apart.join(sides[0], "a").join(sides[1], "b").where(squared_distance(XYZ, "a_", "b_") < eps * eps).select("src", "dst").distinct()
+    whole = components(cells.select(F.col("component").alias("id")).distinct(), links).withColumnRenamed("id", "first")
+    of_cell = cells.select(F.col("id").alias("rep"), F.col("component").alias("first")).join(whole, "first")
+    return placed.select("id", "rep").join(of_cell, "rep").select("id", "component")
+
+
 def cluster_dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     """(id, cluster): clusters of core points (at least min_points others within eps) and what is within eps of one; -1 for the rest.
 
     Clusters are numbered by their least core point, 0 first; a border point goes to the cluster of the least core id around; clusters
     with fewer than min_points points are noise.
     """
-    near = cut(radius_join(points, points, eps).where("q <> t").select(F.col("q").alias("src"), F.col("t").alias("dst")))
+    # as many partners as tell a core point, and all of any other point; of two points in one place the other may stand for the point itself
+    near = cut(radius_join(points, points, eps, max_nn=max(min_points, 1) + 1).where("q <> t").select(F.col("q").alias("src"), F.col("t").alias("dst")))
     core = cut(near.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("src").alias("id")))
-    inner = near.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi")
-    own = components(core, inner)
+    own = cut(_core_components(points.select("id", *XYZ).join(core, "id"), near, eps))
     border = near.join(own.select(F.col("id").alias("dst"), "component"), "dst").join(core.select(F.col("id").alias("src")), "src", "left_anti")
     border = border.groupBy(F.col("src").alias("id")).agg(F.min_by("component", "dst").alias("component"))
     placed = own.unionByName(border)
