@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import matrix_to_twist, rigid, solve_psd, twist_to_matrix
+from ..plans.leaves import Leaves
+from ..plans.lineage import cut
 from ..plans.spatial import XYZ, nearest, radius_join
 from . import images
 from .points import COLOR, NORMAL, estimate_normals, linear, transform
@@ -67,7 +69,7 @@ def colored_rows(weight: float) -> list[tuple[list, object]]:
 def colored_icp(source: DataFrame, target: DataFrame, distance: float, init: np.ndarray | None = None, weight: float = 0.968, iterations: int = 30, least_fitness: float = 1e-6, least_rmse: float = 1e-6) -> Result:
     """Both clouds have colours; the target has normals."""
     m = np.eye(4) if init is None else np.array(init, float)
-    target = color_gradients(target, 2 * distance).persist()
+    target = Leaves(cut(color_gradients(target, 2 * distance)), XYZ, keep=[*XYZ, *NORMAL, "i0", "gx", "gy", "gz"])
     source = source.select("id", *XYZ, *COLOR).withColumn("i0", intensity()).persist()
     total, last = source.count(), None
     for i in range(iterations + 1):
@@ -125,7 +127,7 @@ class Generalized:
 def generalized_icp(source: DataFrame, target: DataFrame, distance: float, init: np.ndarray | None = None, epsilon: float = 1e-3, iterations: int = 30, least_fitness: float = 1e-6, least_rmse: float = 1e-6) -> Result:
     m = np.eye(4) if init is None else np.array(init, float)
     source = plane_covariances(source, epsilon).select("id", *XYZ, "cov").persist()
-    target = plane_covariances(target, epsilon).select("id", *XYZ, "cov").persist()
+    target = Leaves(cut(plane_covariances(target, epsilon)), XYZ, keep=[*XYZ, "cov"])
     total, last, how = source.count(), None, Generalized()
     for i in range(iterations + 1):
         pairs = nearest(transform(source, m), target, distance, keep_query=[*XYZ, "cov"], keep_target=[*XYZ, "cov"]).persist()
